@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxmill.llm import chat, packing, token_codes, warc
+from voxmill.llm._store import new_path
+from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.jaccard import link_documents
 
 
@@ -11,10 +15,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "codes")
+    token_codes.write_codes(_table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_codes.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.captures(spark, path)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_ngram_jaccard_join,)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_perspective_rotation, op3_warc_transactions, op9_ngram_jaccard_join, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_perspective_rotation": """
+with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') said from conversations),
+people as (select distinct conv_id, speaker perspective from t where speaker <> 'system'),
+seen as (select t.*, perspective, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as role,
+    case when speaker not in ('system', perspective) then speaker end as name
+  from t join people on t.conv_id is not distinct from people.conv_id),
+written as (select *, '<|' || role || coalesce(' name=' || name, '') || '|>' || chr(10) as head from seen),
+whole as (select *, head || said || '<|end|>' || chr(10) as text from written),
+placed as (select *, coalesce(sum(length(text)) over (partition by conv_id, perspective order by turn nulls last, speaker, said rows between unbounded preceding and 1 preceding), 0)::bigint as start from whole)
+select conv_id, perspective, turn, role, name, text, start, length(text)::bigint as length,
+  case when role = 'assistant' then start + length(head) end as loss_start, case when role = 'assistant' then start + length(text) end as loss_end
+from placed""",
+    "op3_warc_transactions": """
+with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+h as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end holder from p)
+select page_id, payload_bytes, payload_digest, case when page_id < holder then 'revisit' else 'response' end as record_type, case when page_id < holder then holder end as refers_to from h""",
+}
