@@ -67,7 +67,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(0, batch.column("doc"), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])
         held += sets
         amount += sum(map(len, sets))
-        if amount > 4_000_000:
+        if amount > 1_500_000:
             yield counted(held)
             held, amount = [], 0
     if held:
@@ -157,7 +157,7 @@ def overlap_links(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     for d in np.unique(degree[~dense]):
         together = rows[~dense & (degree == d)].reshape(-1, d)
         i, j = np.triu_indices(d, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for k in range(0, len(together), step):
             part = together[k : k + step]
             np.add.at(counts, (part[:, i].ravel(), part[:, j].ravel()), np.float32(1))
