@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxmill.llm import chat, packing, token_codes, warc
 from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
+from voxmill.llm.decontaminate import find_leaks
 from voxmill.llm.jaccard import link_documents
 
 
@@ -37,6 +38,10 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_perspective_rotation, op3_warc_transactions, op9_ngram_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
 ORACLE_SQL = {
     "op2_perspective_rotation": """
