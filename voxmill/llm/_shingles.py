@@ -37,18 +37,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of all texts; nulls are empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def words(texts: pa.Array, lower: bool = True, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, bounds): those of text i are fingerprints[bounds[i]:bounds[i + 1]].
 
-    A word is a run of bytes other than ASCII white space, with A-Z in lower case.  Nulls have no words.
+    A word is a run of bytes other than ASCII white space (or of those in `in_word`), with A-Z in lower case.  Nulls have
+    no words.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    signs, offsets = text_bytes(texts)
     if not len(signs):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = _IN_WORD[signs]
+    inside = in_word[signs]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < len(signs)]

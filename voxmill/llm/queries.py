@@ -10,6 +10,7 @@ from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.decontaminate import find_leaks
 from voxmill.llm.jaccard import link_documents
+from voxmill.llm.quality import score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
