@@ -9,7 +9,10 @@ from voxmill.llm import chat, packing, token_codes, warc
 from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.decontaminate import find_leaks
+from voxmill.llm.embeddings import link_vectors
 from voxmill.llm.jaccard import link_documents
+from voxmill.llm.passages import repeated_passages
+from voxmill.llm.pii import pseudonymise
 from voxmill.llm.quality import score_documents
 
 
@@ -23,6 +26,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: a setting of the session; the default is for tests."""
+    return spark.conf.get("voxmill.pii.key", "a key for tests")
+
+
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "codes")
     token_codes.write_codes(_table(spark, sf_dir, "documents"), path, vocabulary())
@@ -39,10 +47,22 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), pii_key(spark))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
