@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxmill.plans import counting, curating, searching, surges
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (counting, surges, searching, curating)
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for part in _PARTS for name, (query, _) in part.PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.PLANS.items() if sql}
