@@ -36,7 +36,7 @@ from voxmill.llm._store import cut, drop
 #: How many of the most frequent shingles go last in the order.  It changes which blocks form, never which links hold.
 FREQUENT = 1 << 18
 #: A block within these is one task's product; a larger one is dealt into tiles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1536, 1_000_000
 _PIVOTS = 32
 
 
