@@ -2,14 +2,16 @@
 
 The document by shingle incidence matrix is multiplied by its transpose in blocks.  What may meet in a block comes from
 a prefix filter: two sets with a Jaccard similarity of 3/4 share one of the first n - ceil(3n/4) + 1 shingles of each, in
-any order that all documents keep to.  Ours puts shingles that are frequent in the corpus last, so that a passage that
-many documents share brings together only documents that hold little else.
-
-1. One pass over all texts gives each document its set size and a 128-bit set fingerprint, and counts frequent shingles.
-   Documents with equal sets form a class; only its smallest id goes on.
-2. A second pass writes the prefixes; documents with a common prefix shingle are tied to the list's first document.  A
-   worker ties its own documents before the shuffle, so a frequent shingle costs one row a slice, not one a document.
-   Ties are not links: their components, the blocks, only bound where links can be.
+any order that all documents keep to.  Ours puts shingles that one document alone has first and those of many documents
+late, so that a passage that many documents share brings together only documents that hold little else.
+
+1. One pass over all texts gives each document its set size and a 128-bit set fingerprint, and counts the most frequent
+   shingles, which come last.  Documents with equal sets form a class; only its smallest id goes on.
+2. A second pass writes the incidence of the half of the other shingles that has the smaller fingerprints.  One shuffle
+   by shingle counts their sets exactly and drops what one set alone has; one by set, in order of the counts, cuts the
+   prefixes.  A set with fewer counted shingles than its prefix needs takes the missing ones from the rest, uncounted.
+   Sets with a common prefix shingle are tied to the list's first set.  Ties are not links: their components, the
+   blocks, only bound where links can be.
 3. Each block gets its texts once and is multiplied: overlap counts accumulate by column, densely for frequent columns
    and as co-occurring row pairs for rare ones, and a pair stays if 7 * overlap >= 3 * (size + size).  Only a spanning
    forest of a block's links leaves it.  A block over the size bound is dealt into tiles; documents outside its main
@@ -79,15 +81,21 @@ def _rows(kind: int, doc, n, s1, s2) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind), pa.int32()), *columns], ["kind", "doc", "n", "s1", "s2"])
 
 
-def _prefix_rows(frequent) -> callable:
-    """Rows (0, shingle, first document) and (1, first document, document): prefix entries, and ties within the slice."""
+def _counted(items: np.ndarray) -> np.ndarray:
+    """Which shingles have their documents counted: a half of them by fingerprint, the same half everywhere."""
+    return items >> np.uint64(63) == 0
+
+
+def _incidence(frequent) -> callable:
+    """Rows (shingle, set, room, late) of each distinct set of a slice.  late 0: a counted shingle, with the set's room,
+    that is how many counted shingles it has beyond its prefix; late 1: an entry of the prefix whatever the counts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
         seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            keys, docs = [], []
-            for doc, items in zip(batch.column("doc").to_numpy(zero_copy_only=False), _sets(batch), strict=True):
+            keys, prints, rooms, lates = [], [], [], []
+            for items in _sets(batch):
                 if not len(items) or (p := _set_print(items)) in seen:
                     continue
                 seen.add(p)
@@ -95,25 +103,68 @@ def _prefix_rows(frequent) -> callable:
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, items), len(last) - 1)] == items
                 keep = len(items) - (3 * len(items) + 3) // 4 + 1
-                early = items[~late][:keep]
-                keys.append(early)
-                docs.append(np.full(keep, doc))
-                if len(early) < keep:
-                    keys.append(items[late][: keep - len(early)])
-            if not keys:
-                continue
-            keys, docs = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            first = np.append(True, keys[1:] != keys[:-1])
-            heads = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            yield _ties(0, signed(keys[first]), docs[first])
-            a, b = _distinct(heads[~first], docs[~first])
-            yield _ties(1, a, b)
+                counted = _counted(items) & ~late
+                room = int(counted.sum()) - keep
+                more = np.concatenate([items[~counted & ~late], items[late]])[: max(0, -room)]
+                keys += [items[counted], more]
+                prints.append(np.full(len(keys[-2]) + len(more), p[0]))
+                rooms.append(np.full(len(prints[-1]), max(0, room)))
+                lates.append(np.repeat([0, 1], [len(keys[-2]), len(more)]))
+            if keys:
+                yield _entries(signed(np.concatenate(keys)), np.concatenate(prints), np.concatenate(rooms), np.concatenate(lates))
 
     return run
 
 
+def _entries(key: np.ndarray, of: np.ndarray, room: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(of, pa.int64()), pa.array(room, pa.int32()), pa.array(late, pa.int32())], ["key", "of", "room", "late"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in pieces that end where the value of `column` changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(values[1:] != values[:-1])
+        if held and held[-1].column(column)[-1].as_py() != values[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(changes):
+            to = int(changes[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, to)])
+            held = [batch.slice(to)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of shingle: (set, room, sets with the shingle, shingle) of shingles that several sets have."""
+    for batch in _runs(batches, "key"):
+        key, of, room = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "of", "room"))
+        new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))  # copies of a set from several workers
+        key, of, room = key[new], of[new], room[new]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+        keep = many > 1
+        yield pa.RecordBatch.from_arrays([pa.array(of[keep], pa.int64()), pa.array(room[keep], pa.int32()), pa.array(many[keep], pa.int32()), pa.array(key[keep], pa.int64())], ["of", "room", "many", "key"])
+
+
+def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of set, count and shingle: (shingle, set) of the entries in the prefix.  Shingles of one set
+    alone come first in the order and are not among the rows; a set's last `room` rows are beyond its prefix."""
+    for batch in _runs(batches, "of"):
+        of, room, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("of", "room", "key"))
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        counts = np.diff(np.append(starts, len(of)))
+        left = np.repeat(starts + counts, counts) - np.arange(len(of))
+        keep = left > room
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(of[keep], pa.int64())], ["key", "doc"])
+
+
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -121,23 +172,18 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _ties(kind: int, key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key, pa.int64()), pa.array(doc, pa.int64())], ["kind", "key", "doc"])
-
-
 def _tie_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of kind, key and document: ties (a, b) of each document with the first of its list."""
-    before = (-1, 0, 0)
+    """From rows in order of shingle and set: ties (a, b) of each set with the first of its list."""
+    before = (None, 0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "doc"))
-        new = np.append((kind[0], key[0]) != before[:2], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]))
+        key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc"))
+        new = np.append(key[0] != before[0], key[1:] != key[:-1])
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        head = np.where(at >= 0, doc[at], before[2])
-        before = (kind[-1], key[-1], head[-1])
-        tie = kind == 1
-        a, b = _distinct(np.where(tie, key, head)[tie | ~new], doc[tie | ~new])
+        head = np.where(at >= 0, doc[at], before[1])
+        before = (key[-1], head[-1])
+        a, b = _distinct(head[~new], doc[~new])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -240,16 +286,20 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     sized = described.where("n > 0 and doc is not null")
     first = cut(sized.groupBy("s1", "s2", "n").agg(F.min("doc").alias("head")), "heads")
-    classes = cut(sized.join(first, ["s1", "s2", "n"]).select("doc", "n", "head").distinct(), "classes")
-
-    prefixes = texts.where("doc is not null").mapInArrow(_prefix_rows(frequent), "kind int, key long, doc long")
-    lists = prefixes.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc")
-    ties = lists.mapInArrow(_tie_lists, "a long, b long").distinct()
-    same = classes.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    blocks = components(cut(ties.union(same), "ties"), "blocks")
-
-    heads = classes.where("doc = head").select("doc", "n").distinct()
-    members = cut(heads.join(blocks.select(F.col("id").alias("doc"), F.col("component").alias("block")), "doc"), "members")
+    same = cut(sized.join(first, ["s1", "s2", "n"]).where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "same")
+
+    rows = cut(texts.where("doc is not null").mapInArrow(_incidence(frequent), "key long, of long, room int, late int"), "incidence")
+    counted = rows.where("late = 0").select("key", "of", "room").repartition("key").sortWithinPartitions("key", "of")
+    shared = counted.mapInArrow(_shared, "of long, room int, many int, key long")
+    entries = shared.repartition("of").sortWithinPartitions("of", "many", "key").mapInArrow(_shared_prefixes, "key long, doc long")
+    entries = entries.union(rows.where("late = 1").select("key", F.col("of").alias("doc")))
+    lists = entries.repartition("key").sortWithinPartitions("key", "doc")
+    ties = cut(lists.mapInArrow(_tie_lists, "a long, b long").distinct(), "ties")
+    drop(rows)
+    blocks = components(ties, "blocks")
+
+    heads = first.select(F.col("head").alias("doc"), "s1", "n")
+    members = cut(heads.join(blocks.select(F.col("id").alias("s1"), F.col("component").alias("block")), "s1").groupBy("doc", "block").agg(F.sum("n").alias("n")), "members")
     sizes = members.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where("docs > 1")
     sizes = cut(sizes.select("block", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles), F.lit(1)).cast("int").alias("tiles")), "sizes")
     members = members.join(sizes, "block")
