@@ -5,7 +5,7 @@ of a text are the ids of its pieces between ASCII white space, one after the oth
 single digits and runs of other marks, each encoded by the library's BPE model alone.  Natural text repeats both, so a
 worker keeps the ids of pieces and runs it has met (two bounded memories, emptied when full) and asks the library only
 for new ones.  Pieces with signs beyond the Latin blocks go to the library as they are.
-`tests/llm/test_tokens.py` holds this against the library's own encoding of whole texts.
+`tests/llm/test_operators.py` holds this against the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
