@@ -146,6 +146,42 @@ def test_passages(spark, rows):
     assert passages.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def _edited(text, edits, r):
+    words = text.split()
+    for edit in edits:
+        at = r.randrange(len(words))
+        words[at : at + 1] = {"change": ["zz"], "insert": [words[at], "zz"], "drop": []}[edit]
+    return " ".join(words)
+
+
+def test_passage_windows_equal_brute_force():
+    r = random.Random(4)
+    for k in range(60):
+        one = _prose(r.randrange(50, 91), 700 + k)
+        two = _edited(one, [r.choice(("change", "insert", "drop")) for _ in range(1 + k % 2)], r)
+        head, tail = _prose(r.randrange(12), 900 + k), _prose(r.randrange(12), 1100 + k)
+        a, b = _shingles(f"{head} {one} {tail}"), _shingles(f"{head[::-1]} {two} {tail[::-1]}")
+        n = min(len(a), len(b))
+        wanted = [(s, s + w) for w in range(46, n + 1) for s in range(n - w + 1) if 4 * len({*a[s : s + w]} & {*b[s : s + w]}) >= 3 * len({*a[s : s + w]} | {*b[s : s + w]})]
+        names = {x: i for i, x in enumerate({*a, *b})}
+        got = passages.runs(*(np.array([names[x] for x in t[:n]], np.uint64) for t in (a, b)))
+        covered = {p for s, e in got for p in range(s, e)}
+        assert bool(got) == bool(wanted)
+        assert {p for s, e in wanted for p in range(s, e) if a[p] in b[:n] and b[p] in a[:n]} <= covered <= {p for s, e in wanted for p in range(s, e)}
+
+
+@pytest.mark.parametrize("edit", ["change", "insert", "drop"])
+def test_short_passages_with_an_edit_in_the_middle(spark, edit):
+    rows = []
+    for k in range(20):
+        words = _prose(60, 300 + k).split()
+        instead = {"change": ["zz"], "insert": [words[30], "zz"], "drop": []}[edit]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:30] + instead + words[31:]))]
+    out = passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.partner_id) for r in out} == {(k, k ^ 1) for k in range(40)}
+    assert all(r.similarity >= 0.75 and r.n_words >= 50 for r in out)
+
+
 def test_compact_windows():
     r = np.random.default_rng(2)
     h, bounds = r.integers(0, 1 << 63, 300, np.uint64), np.array([0, 120, 120, 150, 300])
