@@ -108,6 +108,20 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len(set(out)) == 10 and not set(out) & {f"x {k}@b.co" for k in range(10)}
 
 
+def test_pii_formats_with_few_surrogates_get_wider(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Mr X{a}{b}{c}" for a in letters for b in letters for c in letters[:4]]  # more than 16 * 8 * 16
+    octets = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(9000)]  # all but 1,000 of one digit
+    mails = [f"{a}@{b}.co" for a in letters for b in letters]
+    phones = [f"+1 {k:02d} {j:02d}" for k in range(60) for j in range(100)]
+    rows = [(k, t) for k, t in enumerate([*names, *octets, *mails, *phones])]
+    out = pii.pseudonymise(spark.createDataFrame(rows, DOCS).repartition(8), "k").collect()
+    new = [r.text for r in out]
+    assert len(new) == len(rows) == len(set(new)) and not set(new) & {t for _, t in rows} and all(r.n_entities == 1 for r in out)
+    kinds = Counter(next(k for k, p in (("mail", r"\w+@\w+\.co"), ("ip", r"\d+(\.\d+){3}"), ("phone", r"\+1 \d\d \d+"), ("name", r"Mr [A-Z][a-z]+")) if re.fullmatch(p, t)) for t in new)
+    assert kinds == {"name": len(names), "ip": len(octets), "mail": len(mails), "phone": len(phones)}
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 8))

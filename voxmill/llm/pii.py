@@ -8,8 +8,9 @@ case, marks stay where they are; cards keep the issuer and get a right check dig
 octets their width, names their title, gender and script.
 
 Distinct entities are checked over the whole corpus: of those whose surrogates are equal, and those whose surrogate is
-an entity of the corpus, all but the first draw again until none is left.  What had to draw again is a small table that
-is joined by the digest of the text; most documents never meet a shuffle, and no text does unless it holds such an entity.
+an entity of the corpus, all but the first draw again until none is left.  Formats with few surrogates get more room from the third
+draw on, and more with each second one after it: names get further syllables, e-mail addresses further letters, numbers
+that begin with + further pairs of digits, and octets any width.  What had to draw again is a small table that is joined by the digest of the text; most documents never meet a shuffle, and no text does unless it holds such an entity.
 
 Defined results: a null text stays null and an empty one empty; digits that fail a card's check stay; a text may be of any
 length, while an entity is bounded by its pattern; repeated rows get the same text; other columns pass unchanged, and one
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from voxmill.llm._store import cut
 
+#: Draws from the format alone, and then for each step by which it gets wider.
+_NARROW = 2
 # Given names by script and gender, family name syllables, titles by gender.
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Jean Pierre Luis Carlos".split(),
@@ -86,9 +89,14 @@ def entities(text: Column) -> Column:
     return F.transform(formed, lambda v: F.struct(v.e.alias("e"), F.when(false(v), "none").otherwise(v.k).alias("k"), v.c.alias("c")))
 
 
+def _steps(again: Column) -> Column:
+    """How often a format gets wider for an entity that has drawn `again` times before."""
+    return F.floor(again / _NARROW).cast("int")
+
+
 def _draws(v: Column, again: Column, secret: str) -> Column:
     """Numbers 0 to 65535 from the keyed digest of a canonical form, one for each of its signs at least."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length(v.c) / 16).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.length(v.c) + 2 * _steps(again)) / 16).cast("int"))
     digests = F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(secret), v.k, v.c, again.cast("string"), b.cast("string"), F.lit(secret)), 256))
     places = F.sequence(F.lit(0), F.lit(15))
     return F.flatten(F.transform(digests, lambda h: F.transform(places, lambda j: F.conv(F.substring(h, j * 4 + 1, F.lit(4)), 16, 10).cast("int"))))
@@ -110,8 +118,19 @@ def _poured(s: Column) -> Column:
     return F.aggregate(F.split(s.e, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("i")), step, lambda a: a.out)
 
 
+def _widened(s: Column) -> Column:
+    """Poured, with s.w times as much room: a letter more before the @, or two digits more after a number with +."""
+    last = lambda j: F.get(s.d, F.size(s.d) - 1 - j % F.size(s.d))
+    letter = lambda j: F.substring(F.lit(_LETTERS[0][0]), (last(j) % 26 + 1).cast("int"), F.lit(1))
+    digits = lambda j: F.lpad((last(j) % 100).cast("string"), 2, "0")
+    more = lambda sign: F.array_join(F.transform(F.sequence(F.lit(1), s.w), lambda j: sign(j - 1)), "")
+    halves = lambda t: F.concat(F.substring_index(t, "@", 1), more(letter), F.lit("@"), F.substring_index(t, "@", -1))
+    wide = F.when(s.k == "email", F.get(F.transform(F.array(_poured(s)), halves), 0)).when((s.k == "phone") & s.e.startswith("+"), F.concat(_poured(s), more(digits)))
+    return F.when((s.w > 0) & wide.isNotNull(), wide).otherwise(_poured(s))
+
+
 def _octets(s: Column) -> Column:
-    other = lambda o, i: F.when(F.length(o) == 1, F.get(s.d, i) % 10).when(F.length(o) == 2, 10 + F.get(s.d, i) % 90).otherwise(100 + F.get(s.d, i) % 156)
+    other = lambda o, i: F.when(s.w > 0, F.get(s.d, i) % 256).when(F.length(o) == 1, F.get(s.d, i) % 10).when(F.length(o) == 2, 10 + F.get(s.d, i) % 90).otherwise(100 + F.get(s.d, i) % 156)
     return F.array_join(F.transform(F.split(s.e, r"\."), lambda o, i: other(o, i).cast("string")), ".")
 
 
@@ -124,8 +143,11 @@ def _checked(s: Column) -> Column:
 
 def _name(s: Column) -> Column:
     """The title stays; a given name has another of its list, a family name one made of syllables of its script."""
-    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), F.get(s.d, F.lit(at)) % len(names))
-    made = F.when(s.e.rlike(r"\p{IsCyrillic}"), F.concat(*(pick(part, at) for at, part in enumerate(FAMILY["cyrillic"])))).otherwise(F.concat(*(pick(part, at) for at, part in enumerate(FAMILY["latin"]))))
+    at_place = lambda at: F.get(s.d, (F.lit(at) if isinstance(at, int) else at) % F.size(s.d))
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at_place(at) % len(names))
+    more = lambda part: F.array_join(F.transform(F.sequence(F.lit(0), s.w), lambda j: F.when(j > 0, pick(part, j + 4)).otherwise(pick(part, 1))), "")
+    family = lambda parts: F.concat(pick(parts[0], 0), more(parts[1]), pick(parts[2], 2))
+    made = F.when(s.e.rlike(r"\p{IsCyrillic}"), family(FAMILY["cyrillic"])).otherwise(family(FAMILY["latin"]))
 
     def word(x: Column, i: Column) -> Column:
         out = F.when(i == F.size(F.split(s.e, " ")) - 1, F.when(x == F.upper(x), F.upper(made)).otherwise(made))
@@ -138,7 +160,7 @@ def _name(s: Column) -> Column:
 
 def surrogates(found: Column, again, secret: str) -> Column:
     """What stands for each of `entities`; again(v) says how often an entity has drawn before."""
-    drawn = F.transform(found, lambda v: F.struct(v.e.alias("e"), v.k.alias("k"), _draws(v, again(v), secret).alias("d")))
+    drawn = F.transform(found, lambda v: F.struct(v.e.alias("e"), v.k.alias("k"), _draws(v, again(v), secret).alias("d"), _steps(again(v)).alias("w")))
     length = lambda pattern: lambda v: F.length(F.regexp_extract(v.e, pattern, 0))
     after = {"phone": length(r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]"), "secret": length("^(AKIA|gh[pousr]_|sk-)"), "card": lambda v: F.lit(1), "iban": lambda v: F.lit(2)}
 
@@ -147,9 +169,9 @@ def surrogates(found: Column, again, secret: str) -> Column:
         for kind, of in after.items():
             start = F.when(v.k == kind, of(v)).otherwise(start)
         end = F.when(v.k == "email", F.length(v.e) - length(r"\.[^.@]+$")(v)).otherwise(F.length(v.e))
-        return F.struct(v.e.alias("e"), v.k.alias("k"), v.d.alias("d"), start.alias("a"), end.alias("b"), v.e.rlike("^[0-9a-fA-F:]+$").alias("hex"))
+        return F.struct(v.e.alias("e"), v.k.alias("k"), v.d.alias("d"), v.w.alias("w"), start.alias("a"), end.alias("b"), v.e.rlike("^[0-9a-fA-F:]+$").alias("hex"))
 
-    made = lambda s: F.when(s.k == "none", s.e).when(s.k == "ip", _octets(s)).when(s.k == "card", _checked(s)).when(s.k == "name", _name(s)).otherwise(_poured(s))
+    made = lambda s: F.when(s.k == "none", s.e).when(s.k == "ip", _octets(s)).when(s.k == "card", _checked(s)).when(s.k == "name", _name(s)).otherwise(_widened(s))
     return F.transform(F.transform(drawn, bounds), made)
 
 
