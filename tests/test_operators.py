@@ -99,3 +99,10 @@ def test_unknown_placeholder_is_an_error(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"app": "a", "store": "s", "id": "1", "reply": "Hi {nobody}"}\n')
     with pytest.raises(Exception, match="unknown placeholder"):
         feeds.read_written_replies(spark, str(tmp_path)).collect()
+
+
+def test_nearest_examples_keep_every_query(spark):
+    queries = spark.range(1200).select((F.col("id") + 10).alias("id"), F.array(F.lit(1.0), F.col("id") / 1200).alias("vector"))
+    examples = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "id long, vector array<double>")
+    out = search.nearest_examples(queries, examples, 1)
+    assert out.count() == out.select("query_id").distinct().count() == 1200

@@ -119,8 +119,8 @@ def hybrid(documents: DataFrame, vectors: DataFrame, query: str, query_vector: S
 
 
 def nearest_examples(queries: DataFrame, examples: DataFrame, n: int) -> DataFrame:
-    """The n examples nearest to each query, most similar last.  queries: a small list, held against all examples."""
-    pairs = examples.select(F.col("id").alias("example_id"), F.col("vector").alias("v")).crossJoin(F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).limit(1000)))
+    """The n examples nearest to each query, most similar last.  Every query is held against every example."""
+    pairs = examples.select(F.col("id").alias("example_id"), F.col("vector").alias("v")).crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")))
     scored = pairs.where("query_id <> example_id").select("query_id", "example_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "example_id"))
     near = scored.withColumn("place", place).where(F.col("place") <= n)
