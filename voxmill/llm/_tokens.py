@@ -2,10 +2,10 @@
 
 The vocabulary used here (README.md of /opt/tokenizers) drops white space before it looks at anything else, so the ids
 of a text are the ids of its pieces between ASCII white space, one after the other; and a piece is its runs of letters,
-single digits and runs of other marks, each encoded by the library's BPE model alone.  Natural text repeats both, so a
-worker keeps the ids of pieces and runs it has met (two bounded memories, emptied when full) and asks the library only
-for new ones.  Pieces with signs beyond the Latin blocks go to the library as they are.
-`tests/llm/test_operators.py` holds this against the library's own encoding of whole texts.
+single digits and runs of other marks, control characters among them, each encoded by the library's BPE model alone.
+Natural text repeats both, so a worker keeps the ids of pieces and runs it has met (two bounded memories, emptied when
+full) and asks the library only for new ones.  Pieces with signs beyond the Latin blocks go to the library as they are.
+`tests/llm/test_llm_operators.py` holds this against the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import regex
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-# Fixed value: the runs that the vocabulary file's own splitting rule names.
-_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+# Fixed value: the runs that the vocabulary file's own splitting rule names.  White space is ASCII white space alone here.
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\p{L}\p{N}]+|\n")
 _LATIN = regex.compile(r"[\x21-\x7e¡-¬®-ɏ]*")
 # Bytes in lower case, all ASCII white space as a blank.
 _PLAIN = np.array([*range(256)], np.uint8)
@@ -58,7 +58,7 @@ class TextEncoder:
 
     def _add_runs(self, runs: set[str]) -> None:
         for run in runs:
-            written = run if run.isascii() else run.encode().decode("latin-1").translate(self.signs)
+            written = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.signs)
             self.runs[run] = array("H", [t.id for t in self.model.tokenize(written)])
 
     def _learn(self, pieces: list[str]) -> None:

@@ -7,12 +7,13 @@ moves one, exchanges one for a shorter one, or two for a shorter one, with a seq
 makes the sum of squared fills larger, and the search ends when a sequence less is impossible or no step is left.
 
 Defined results: a null or empty text has the end id alone; a text over the capacity is cut into full pieces and a
-rest; rows with a null doc_id, and repeated rows, are packed like any others; an empty table has no rows.
+rest; rows with a null doc_id, and repeated rows, are packed like any others, and many of them are dealt over many
+shards; other columns are ignored; an empty table has no rows.  The same rows in the same files give the same sequences.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,14 +89,38 @@ class Packing:
             if fitting:
                 self._shift([i], source, [], min(fitting, key=lambda b: self.room[b]))
                 return True
-        pairs = [(i, j) for k, i in enumerate(items) for j in items[k + 1 :]] if len(items) <= 64 else []
-        for give in [*((i,) for i in items), *pairs]:
-            length = sum(self.lengths[i] for i in give)
+        for i in items:
+            length = self.lengths[i]
             for wanted in range(max(1, length - most), length):
                 for target, j in self.holders.get(wanted, ()):
                     if better(target, length - wanted):
-                        self._shift(list(give), source, [j], target)
+                        self._shift([i], source, [j], target)
                         return True
+        return self._two_for_one(source, others, items, fill)
+
+    def _two_for_one(self, source: int, others: list[int], items: list[int], fill: int) -> bool:
+        """Gives two items for a shorter one.  Bit s of `sums`: two items of `source` are s long together."""
+        many = Counter(self.lengths[i] for i in items)
+        once, sums = sum(1 << length for length in many), 0
+        for length, n in many.items():
+            sums |= (once if n > 1 else once & ~(1 << length)) << length
+        for target in others:
+            room = self.room[target]
+            least = max(1, fill - (self.capacity - room) + 1)
+            if least > room:
+                continue
+            for j in self.bins[target]:
+                fitting = sums >> (self.lengths[j] + least) & ((1 << (room - least + 1)) - 1)
+                if fitting:
+                    total = self.lengths[j] + least + fitting.bit_length() - 1  # the longest pair that fits
+                    by_length = {self.lengths[i]: i for i in items}
+                    for i in items:
+                        k = by_length.get(total - self.lengths[i])
+                        if k == i:
+                            k = next((x for x in items if x != i and self.lengths[x] == self.lengths[i]), None)
+                        if k is not None:
+                            self._shift([i, k], source, [j], target)
+                            return True
         return False
 
     def _improve(self) -> None:
@@ -133,16 +158,17 @@ def _pieces(vocabulary: str, capacity: int) -> callable:
             length = np.minimum(capacity, bounds[row + 1] - begin)
             raw = whole.tobytes()
             tokens = pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist(), strict=True)], pa.binary())
-            start = begin - bounds[row] + 0
-            columns = [batch.column("doc").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), tokens]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "tokens"])
+            start = begin - bounds[row]
+            part = np.full(len(row), TaskContext.get().partitionId())
+            columns = [batch.column("doc").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), tokens, pa.array(part, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "tokens", "part"])
 
     return run
 
 
 def _pack(capacity: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = [b.drop_columns(["part"]) for b in batches if b.num_rows]
         if not held:
             return
         lengths = np.concatenate([b.column("length").to_numpy() for b in held])
@@ -165,6 +191,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, i
     """doc_id, piece, start, length, tokens (little-endian 32-bit ids), sequence_id and offset of every piece."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    pieces = rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, tokens binary")
-    dealt = pieces.repartition(max(1, -(-chars // shard_chars)), "doc_id", "piece", "length")
+    pieces = rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, tokens binary, part int")
+    # Equal rows of different files go to different shards; the order in a shard does not depend on what arrives first.
+    dealt = pieces.repartition(max(1, -(-chars // shard_chars)), "doc_id", "piece", "length", "part")
+    dealt = dealt.sortWithinPartitions("doc_id", "piece", "length", "tokens")
     return dealt.mapInArrow(_pack(capacity), "doc_id long, piece int, start long, length long, tokens binary, sequence_id long, offset long")

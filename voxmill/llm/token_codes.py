@@ -8,12 +8,11 @@ A file row is a segment: whole documents of one range of doc_id, about a million
 Spark, so they lie wherever Spark can write.
 
 Defined results: a null or empty text has the end id alone; rows with a null doc_id come first; rows with equal doc_id
-follow each other in order of their text; an empty table has no rows.
+follow each other, in order of a hash of their text; other columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,9 +115,10 @@ def _write_segments(vocabulary: str) -> callable:
 def write_codes(docs: DataFrame, path: str, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Writes the ids of all texts, each followed by the end id, in ascending order of doc_id."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    # Ranges are drawn from the raw rows: texts are tokenised after they have moved, once.
-    ordered = rows.repartitionByRange(F.col("doc").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Ranges are drawn from ids and hashes: no text reaches the driver, and rows that share an id still split.
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(F.col("doc").asc_nulls_first(), "print")
+    ordered = ordered.sortWithinPartitions(F.col("doc").asc_nulls_first(), "print", F.col("text").asc_nulls_first())
     ordered.mapInArrow(_write_segments(vocabulary), _SEGMENT).write.parquet(path)
 
 
@@ -163,17 +163,23 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("part", "before", "doc_ids", "ends", "codes").mapInArrow(_read_documents(_bases(files)), "doc_id long, start long, n_tokens long, tokens binary")
 
 
-def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> list[int]:
-    """The ids at a few places of the whole corpus, each read straight from its segment."""
-    files = spark.read.schema(_SEGMENT).parquet(path)
-    bases, out = _bases(files), []
-    for position in positions:
-        part = max((p for p, base in bases.items() if base <= position), key=bases.get)
-        within = position - bases[part]
-        row = files.where((F.col("part") == part) & (F.col("before") <= within) & (F.col("before") + F.col("tokens") > within)).select("before", "codes").first()
-        out.append(Codes(bytes(row.codes))[within - row.before])
-    return out
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [Codes(code.as_py())[within] for code, within in zip(batch.column("codes"), batch.column("within").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(found, pa.int64())], ["position", "token"])
 
 
-def checksum(tokens: bytes) -> int:
-    return zlib.crc32(tokens)
+def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """position and token for a table of positions in the whole corpus, each id read straight from its segment.
+
+    One range join: segments lie in buckets of positions, so that a position meets those of its own bucket alone.
+    """
+    files = spark.read.schema(_SEGMENT).parquet(path)
+    bases = spark.createDataFrame(list(_bases(files).items()), "part int, base long")
+    bucket = 1 << 20
+    segments = files.join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("before"))
+    segments = segments.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("first") + F.col("tokens") - 1) / bucket))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("bucket", F.floor(F.col("position") / bucket))
+    inside = (asked.bucket == segments.bucket) & asked.position.between(F.col("first"), F.col("first") + F.col("tokens") - 1)
+    met = asked.join(segments, inside).select("position", (F.col("position") - F.col("first")).alias("within"), "codes")
+    return met.mapInArrow(_looked_up, "position long, token long")
