@@ -44,24 +44,28 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = True, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, bounds): those of text i are fingerprints[bounds[i]:bounds[i + 1]].
-
-    A word is a run of bytes other than ASCII white space (or of those in `in_word`), with A-Z in lower case.  Nulls have
-    no words.
-    """
+def word_starts(texts: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, which of them are in a word, starts, bounds): the words of text i begin at starts[bounds[i]:bounds[i + 1]]."""
     signs, offsets = text_bytes(texts)
-    if not len(signs):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     inside = in_word[signs]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < len(signs)]
     first[edge] = inside[edge]
     starts = np.flatnonzero(first)
+    return signs, inside, starts, np.searchsorted(starts, offsets)
+
+
+def words(texts: pa.Array, lower: bool = True, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, bounds): those of text i are fingerprints[bounds[i]:bounds[i + 1]].
+
+    A word is a run of bytes other than ASCII white space (or of those in `in_word`), with A-Z in lower case.  Nulls have
+    no words.
+    """
+    signs, inside, starts, bounds = word_starts(texts, in_word)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    place = np.arange(len(signs)) - np.repeat(starts, np.diff(np.append(starts, len(signs)))) if starts[0] == 0 else np.arange(len(signs)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(signs))))])
+        return np.zeros(0, np.uint64), bounds
+    place = np.arange(len(signs)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(signs))))])
     value = _BYTES[_LOWER[signs] if lower else signs]
     weight = _WEIGHTS[place & (_PLACES - 1)]
     far = np.flatnonzero(place >= _PLACES)
@@ -69,7 +73,7 @@ def words(texts: pa.Array, lower: bool = True, in_word: np.ndarray = _IN_WORD) -
         weight[far] += mix((place[far] >> 12).astype(np.uint64)) << np.uint64(1)
     value *= weight
     value[~inside] = 0
-    return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets)
+    return mix(np.add.reduceat(value, starts)), bounds
 
 
 def shingles(fingerprints: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -92,5 +96,26 @@ def shingles(fingerprints: np.ndarray, bounds: np.ndarray, size: int = 5) -> tup
     return mix(out), out_bounds
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in pieces that end where the value of `column` changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(values[1:] != values[:-1])
+        if held and held[-1].column(column)[-1].as_py() != values[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(changes):
+            to = int(changes[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, to)])
+            held = [batch.slice(to)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

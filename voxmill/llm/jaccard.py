@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm._graph import components
-from voxmill.llm._shingles import mix, shingles, signed, slices, words
+from voxmill.llm._shingles import mix, runs_of, shingles, signed, slices, words
 from voxmill.llm._store import cut, drop
 
 #: How many of the most frequent shingles go last in the order.  It changes which blocks form, never which links hold.
@@ -120,30 +120,9 @@ def _entries(key: np.ndarray, of: np.ndarray, room: np.ndarray, late: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(of, pa.int64()), pa.array(room, pa.int32()), pa.array(late, pa.int32())], ["key", "of", "room", "late"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Sorted rows in pieces that end where the value of `column` changes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(column).to_numpy(zero_copy_only=False)
-        changes = np.flatnonzero(values[1:] != values[:-1])
-        if held and held[-1].column(column)[-1].as_py() != values[0]:
-            yield pa.concat_batches(held)
-            held = []
-        if len(changes):
-            to = int(changes[-1]) + 1
-            yield pa.concat_batches([*held, batch.slice(0, to)])
-            held = [batch.slice(to)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of shingle: (set, room, sets with the shingle, shingle) of shingles that several sets have."""
-    for batch in _runs(batches, "key"):
+    for batch in runs_of(batches, "key"):
         key, of, room = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "of", "room"))
         new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))  # copies of a set from several workers
         key, of, room = key[new], of[new], room[new]
@@ -156,7 +135,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of set, count and shingle: (shingle, set) of the entries in the prefix.  Shingles of one set
     alone come first in the order and are not among the rows; a set's last `room` rows are beyond its prefix."""
-    for batch in _runs(batches, "of"):
+    for batch in runs_of(batches, "of"):
         of, room, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("of", "room", "key"))
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         counts = np.diff(np.append(starts, len(of)))
