@@ -1,59 +1,87 @@
 """Personal data replaced by surrogates: DataFrame and SQL functions alone.
 
 Detected are e-mail addresses, IP addresses, payment cards (a known issuer's first digits and a right check digit), phone
-and social security numbers, IBANs, secret tokens, and names (a title or a listed given name, then a family name).  An
-entity's surrogate is drawn from a keyed digest of its canonical form, so it is the same everywhere, however it is
+and social security numbers, IBANs, secret tokens, and names (a title or a listed given name, then a family name; or what
+a phrase such as "my name is" introduces).  A family name so found is also found where it stands alone in the same text.
+
+An entity's surrogate is drawn from a keyed digest of its canonical form, so it is the same everywhere, however it is
 written, and nobody without the key can go back.  Digits stand for digits, letters for letters of the same script and
-case, marks stay where they are; cards keep the issuer and get a right check digit, addresses keep their top domain,
-octets their width, names their title, gender and script.
+case, marks stay where they are; cards keep the issuer and get a right check digit, addresses keep their top domain, and
+octets their width.  Of a name, the title stays, the given name becomes another one of its script and gender (a keyed
+rotation of the list, so distinct ones stay distinct), and the family name is drawn by itself: Mrs Mary Smith, Mary Smith,
+MRS. SMITH and Smith keep their family name in common, and a Cyrillic feminine form is one of the masculine surrogate.
 
 Distinct entities are checked over the whole corpus: of those whose surrogates are equal, and those whose surrogate is
-an entity of the corpus, all but the first draw again until none is left.  Formats with few surrogates get more room from the third
-draw on, and more with each second one after it: names get further syllables, e-mail addresses further letters, numbers
-that begin with + further pairs of digits, and octets any width.  What had to draw again is a small table that is joined by the digest of the text; most documents never meet a shuffle, and no text does unless it holds such an entity.
+an entity of the corpus, all but the first draw again until none is left.  Formats get more room with every second draw,
+those with few surrogates from the third draw on (names get further syllables, e-mail addresses further letters, numbers
+that begin with + further pairs of digits, octets any width), all others from the ninth on (further digits or letters).
+From draw STRICT on a surrogate may be an entity of the corpus, but never that of another; after LAST draws, which the
+room makes impossible but for addresses of four octets, the job fails rather than return equal surrogates.
+
+The texts are matched once: a table keeps them in pieces, between and in matches.  What had to draw again is a small table
+that is joined by the row's number in that table, for rows with entities alone; no other row is shuffled.
 
 Defined results: a null text stays null and an empty one empty; digits that fail a card's check stay; a text may be of any
-length, while an entity is bounded by its pattern; repeated rows get the same text; other columns pass unchanged, and one
-named `n_entities` would be replaced.
+length, while an entity is bounded by its pattern; repeated rows get the same text; other columns pass unchanged, whatever
+their names, but for one named `n_entities`, which is replaced; an empty table has no rows.  Given names beyond the list
+are found after an introduction alone, and two of them may share a surrogate; scripts but Latin, Cyrillic and Greek get Latin family names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm._store import cut
 
-#: Draws from the format alone, and then for each step by which it gets wider.
-_NARROW = 2
+#: Draws from the format alone, and then for each step by which it gets wider; steps before numbers of fixed length do.
+_NARROW, _FIXED = 2, 4
+STRICT, LAST = 32, 64
 # Given names by script and gender, family name syllables, titles by gender.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Jean Pierre Luis Carlos".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Emma Laura Ingrid Greta Claire Sophie Carmen Lucía".split(),
-    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
+    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Jean Pierre Luis Carlos Richard Joseph Charles Mark Steven George Kevin Brian Edward Anthony Jürgen Klaus Stefan Jacques Miguel Javier João Marco Giovanni".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Emma Laura Ingrid Greta Claire Sophie Carmen Lucía Barbara Jessica Nancy Lisa Margaret Sandra Ashley Emily Michelle Ursula Monika Sabine Camille Isabel Ana Giulia".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел Виктор Юрий".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Людмила Галина Юлия".split(),
+    ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Παναγιώτης Χρήστος".split(),
+    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Βασιλική Αναστασία".split(),
 }
 FAMILY = {
     "latin": ("Bar Cal Dor Fen Gar Hal Ker Lan Mor Nor Pel Ros Sal Tor Var Wil".split(), "ba de ki lo ma ne ri so".split(), "ck dale field ford ham lin man ner nik ras son stein ton vel well wick".split()),
-    "cyrillic": ("Бар Вол Гор Дан Зар Кор Лан Мор Нор Пел Рос Сав Тар Фед Чер Яр".split(), "ба ве ди ко ла ми но ри".split(), "бов вин дов ев ин ков лов мин нов ров сков тов хин чев шин ский".split()),
+    "cyrillic": ("Бар Вол Гор Дан Зар Кор Лан Мор Нор Пел Рос Сав Тар Фед Чер Яр".split(), "ба ве ди ко ла ми но ри".split(), "бов вин дов лев лин ков лов мин нов ров сков тов дин чев шин нин".split()),
+    "greek": ("Βαρ Γαλ Δορ Ζερ Καλ Λαν Μαρ Νικ Παν Ροδ Σαλ Ταρ Φιλ Χαρ Μελ Θεο".split(), "βα δε κι λο μα νε ρι σο".split(), "δης κος λας νης ρας τος πουλος ιδης ακης νος λης κης μης ρος της σας".split()),
 }
 TITLES = {"m": "Mr Herr Señor Sr".split(), "f": "Mrs Ms Miss Frau Mme Mlle Señora Sra".split(), "": "Dr Prof".split()}
 
 _ALL_GIVEN = [name for names in GIVEN.values() for name in names]
-_WORD = r"\p{L}\p{N}"
-PATTERN = "|".join([
-    rf"(?<![{_WORD}._%+-])[{_WORD}_%+-][{_WORD}._%+-]{{0,63}}+@[{_WORD}-]{{1,63}}(?:\.[{_WORD}-]{{1,63}}){{0,6}}\.\p{{L}}{{2,24}}",
-    r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?!\d|\.\d)",
-    r"(?<![:\p{L}\p{N}])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\p{L}\p{N}])",
-    rf"(?<![{_WORD}])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?![{_WORD}])",
-    rf"(?<![{_WORD}])\d{{3}}-\d{{2}}-\d{{4}}(?![{_WORD}]|-\d)",
-    rf"(?<![{_WORD}+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?![{_WORD}]|-\d)",
-    rf"(?<![{_WORD}.-])\d(?:[ -]?\d){{12,18}}(?![{_WORD}]|-\d)",
-    rf"(?<![{_WORD}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_WORD}])",
-    rf"(?<![{_WORD}])(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:(?:{'|'.join(_ALL_GIVEN)}) )?|(?:{'|'.join(_ALL_GIVEN)}) )\p{{Lu}}\p{{L}}{{1,40}}(?![{_WORD}])",
-])
+_W = r"[\p{L}\p{N}]"
+_CAPITAL = r"\p{Lu}\p{L}{1,40}(?:['’-]\p{Lu}\p{L}{1,40})?"
+_INTRODUCED = r"(?<=[Nn]ame is |[Nn]ame: |[Ss]igned by |[Ss]incerely, )"
+_ALTERNATIVES = [
+    rf"(?=[{_W[1:-1]}_%+-])[{_W[1:-1]}_%+-][{_W[1:-1]}._%+-]{{0,63}}+@[{_W[1:-1]}-]{{1,63}}(?:\.[{_W[1:-1]}-]{{1,63}}){{0,6}}\.\p{{L}}{{2,24}}",
+    rf"(?=\p{{Lu}})(?:(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?:(?:{'|'.join(_ALL_GIVEN)}) )?|(?:{'|'.join(_ALL_GIVEN)}) |{_INTRODUCED}(?:\p{{Lu}}\p{{L}}{{1,40}} )?){_CAPITAL}(?!{_W})",
+    r"(?=[0-9A-Fa-f])(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\p{L}\p{N}])",
+    rf"(?=[0-9A-Fags])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?!{_W})",
+    rf"(?=\d)\d{{3}}-\d{{2}}-\d{{4}}(?!{_W}|-\d)",
+    rf"(?=[+(\d])(?<!\+)(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{_W}|-\d)",
+    rf"(?=\d)(?<![.-])(?!(?:\d{{1,3}}\.){{3}})\d(?:[ -]?\d){{12,18}}(?!{_W}|-\d)",
+    rf"(?=[A-Z])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_W})",
+]
+#: No match begins inside a word, but for addresses of four octets: that is looked at first, once for all kinds.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+PATTERN = rf"(?<!{_W})(?:{'|'.join(_ALTERNATIVES)})|(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+#: Signs that stand for nothing in any text; round what matches.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 _LETTERS = (("abcdefghijklmnopqrstuvwxyz", "a-z"), ("абвгдежзиклмнопрстуфхцчшщыэюя", "а-яё"), ("αβγδεζηθικλμνξοπρστυφχψω", "α-ωάέήίόύώ"))
+_FEMININE = "(?i)(ов|ев|ёв|ин)а$"
+
+
+def _let(x: Column, use) -> Column:
+    """use(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), use), 0)
 
 
 def _kind(e: Column) -> Column:
@@ -68,10 +96,16 @@ def _kind(e: Column) -> Column:
     return out
 
 
+def _family(e: Column) -> Column:
+    """The family name of a name: its last word."""
+    return F.substring_index(e, " ", -1)
+
+
 def _canonical(e: Column, kind: Column) -> Column:
-    """What all ways to write an entity have in common."""
+    """What all ways to write an entity have in common; of a name, that is its family name in the masculine."""
     bare = F.regexp_replace(F.lower(e), r"[^\p{L}\p{N}]", "")
-    return F.when(kind == "secret", e).when(kind.isin("email", "name", "ip", "ip6"), F.lower(e)).otherwise(bare)
+    family = F.lower(F.regexp_replace(_family(e), _FEMININE, "$1"))
+    return F.when(kind == "secret", e).when(kind == "name", family).when(kind.isin("email", "ip", "ip6"), F.lower(e)).otherwise(bare)
 
 
 def _check_sum(digits: Column, shift: int) -> Column:
@@ -80,9 +114,27 @@ def _check_sum(digits: Column, shift: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), value), F.lit(0), lambda a, d: a + d)
 
 
-def entities(text: Column) -> Column:
-    """array<struct<e, k, c>>: each match of the pattern with its kind (none: digits that are no card) and canonical form."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda e: F.struct(e.alias("e"), _kind(e).alias("k")))
+def pieces(text: Column) -> Column:
+    """The text in pieces: every second one, from the second on, is a match.  One pass with the pattern."""
+    marks = f"[{_OPEN}{_CLOSE}]"
+    marked = lambda x, pattern: F.split(F.regexp_replace(x, pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), marks, -1)
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    apart = F.flatten(F.zip_with(F.split(text, PATTERN, -1), found, lambda p, e: F.when(e.isNull(), F.array(p)).otherwise(F.array(p, e))))
+    is_match = lambda _, i: i % 2 == 1
+    families = lambda ps: F.array_distinct(F.transform(F.filter(F.filter(ps, is_match), lambda e: _kind(e) == "name"), _family))
+
+    def with_bare_names(x: Column) -> Column:
+        alone = F.concat(F.lit(f"(?<!{_W})(?:"), F.array_join(F.array_union(x.families, F.transform(x.families, F.upper)), "|"), F.lit(f")(?!{_W})"))
+        more = F.flatten(F.transform(x.ps, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(marked(p, alone))))
+        return F.when(F.size(x.families) > 0, more).otherwise(x.ps)
+
+    once = _let(marked(text, F.lit(PATTERN)), lambda ps: F.when(F.size(ps) < 2, ps).otherwise(_let(F.struct(ps.alias("ps"), families(ps).alias("families")), with_bare_names)))
+    return F.when(text.rlike(marks), apart).otherwise(once)
+
+
+def entities(parts: Column) -> Column:
+    """array<struct<e, k, c>>: each match with its kind (none: digits that are no card) and canonical form."""
+    found = F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda e: F.struct(e.alias("e"), _kind(e).alias("k")))
     formed = F.transform(found, lambda v: F.struct(v.e.alias("e"), v.k.alias("k"), _canonical(v.e, v.k).alias("c")))
     issuer = "^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6)"
     false = lambda v: (v.k == "card") & ~(v.c.rlike(issuer) & (_check_sum(v.c, 0) % 10 == 0))
@@ -119,13 +171,15 @@ def _poured(s: Column) -> Column:
 
 
 def _widened(s: Column) -> Column:
-    """Poured, with s.w times as much room: a letter more before the @, or two digits more after a number with +."""
+    """Poured, with s.w times as much room: a letter more before the @, two digits more after other things, or letters."""
     last = lambda j: F.get(s.d, F.size(s.d) - 1 - j % F.size(s.d))
-    letter = lambda j: F.substring(F.lit(_LETTERS[0][0]), (last(j) % 26 + 1).cast("int"), F.lit(1))
+    letter = lambda j: F.substring(F.lit(_LETTERS[0][0]), (last(j) % F.when(s.hex, 6).otherwise(26) + 1).cast("int"), F.lit(1))
     digits = lambda j: F.lpad((last(j) % 100).cast("string"), 2, "0")
-    more = lambda sign: F.array_join(F.transform(F.sequence(F.lit(1), s.w), lambda j: sign(j - 1)), "")
-    halves = lambda t: F.concat(F.substring_index(t, "@", 1), more(letter), F.lit("@"), F.substring_index(t, "@", -1))
-    wide = F.when(s.k == "email", F.get(F.transform(F.array(_poured(s)), halves), 0)).when((s.k == "phone") & s.e.startswith("+"), F.concat(_poured(s), more(digits)))
+    more = lambda sign, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: sign(j - 1)), "")
+    halves = lambda t: F.concat(F.substring_index(t, "@", 1), more(letter, s.w), F.lit("@"), F.substring_index(t, "@", -1))
+    late = s.w - _FIXED + 1
+    wide = F.when(s.k == "email", _let(_poured(s), halves)).when((s.k == "phone") & s.e.startswith("+"), F.concat(_poured(s), more(digits, s.w)))
+    wide = wide.when((late > 0) & s.k.isin("phone", "ssn", "iban"), F.concat(_poured(s), more(digits, late))).when((late > 0) & s.k.isin("secret", "ip6"), F.concat(_poured(s), more(letter, late)))
     return F.when((s.w > 0) & wide.isNotNull(), wide).otherwise(_poured(s))
 
 
@@ -135,27 +189,39 @@ def _octets(s: Column) -> Column:
 
 
 def _checked(s: Column) -> Column:
-    """A card number whose last digit is right."""
-    bare = F.array(F.regexp_replace(_poured(s), "[0-9]$", ""))
+    """A card number whose last digit is right; late draws put digits in before it."""
+    late = s.w - _FIXED + 1
+    digits = lambda j: F.lpad((F.get(s.d, F.size(s.d) - j % F.size(s.d)) % 100).cast("string"), 2, "0")
+    more = F.when(late > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(late, F.lit(1))), digits), "")).otherwise("")
+    bare = F.concat(F.regexp_replace(_poured(s), "[0-9]$", ""), more)
     digit = lambda t: ((10 - _check_sum(F.regexp_replace(t, "[^0-9]", ""), 1) % 10) % 10).cast("string")
-    return F.get(F.transform(bare, lambda t: F.concat(t, digit(t))), 0)
+    return _let(bare, lambda t: F.concat(t, digit(t)))
+
+
+def _rotation(secret: str) -> dict[str, str]:
+    """Each listed given name's surrogate: the next one of its list in the order of a keyed digest."""
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{secret}|given|{n}|{secret}".encode()).digest())
+        out |= dict(zip(order, [*order[1:], order[0]], strict=True))
+    return out
 
 
-def _name(s: Column) -> Column:
+def _name(s: Column, secret: str) -> Column:
     """The title stays; a given name has another of its list, a family name one made of syllables of its script."""
     at_place = lambda at: F.get(s.d, (F.lit(at) if isinstance(at, int) else at) % F.size(s.d))
     pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at_place(at) % len(names))
     more = lambda part: F.array_join(F.transform(F.sequence(F.lit(0), s.w), lambda j: F.when(j > 0, pick(part, j + 4)).otherwise(pick(part, 1))), "")
     family = lambda parts: F.concat(pick(parts[0], 0), more(parts[1]), pick(parts[2], 2))
-    made = F.when(s.e.rlike(r"\p{IsCyrillic}"), family(FAMILY["cyrillic"])).otherwise(family(FAMILY["latin"]))
-
-    def word(x: Column, i: Column) -> Column:
-        out = F.when(i == F.size(F.split(s.e, " ")) - 1, F.when(x == F.upper(x), F.upper(made)).otherwise(made))
-        for names in GIVEN.values():
-            out = out.when(x.isin(names), pick(names, 4))
-        return out.otherwise(x)
-
-    return F.array_join(F.transform(F.split(s.e, " "), word), " ")
+    of = _family(s.e)
+    made = F.when(of.rlike(r"\p{IsCyrillic}"), F.concat(family(FAMILY["cyrillic"]), F.when(of.rlike(_FEMININE), "а").otherwise("")))
+    made = made.when(of.rlike(r"\p{IsGreek}"), family(FAMILY["greek"])).otherwise(family(FAMILY["latin"]))
+    given = F.create_map(*(F.lit(x) for pair in _rotation(secret).items() for x in pair))
+    last = F.size(F.split(s.e, " ")) - 1
+    cased = lambda x: F.when((F.length(x) > 1) & (x == F.upper(x)), F.upper(made)).otherwise(made)
+    titled = F.regexp_replace(s.e, " .*", "").rlike(rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?$")
+    other = lambda x: F.get(F.array(*map(F.lit, _ALL_GIVEN)), F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{secret}|given|"), F.lower(x), F.lit(f"|{secret}")), 256), 1, 6), 16, 10).cast("int"), F.lit(len(_ALL_GIVEN))))
+    return F.array_join(F.transform(F.split(s.e, " "), lambda x, i: F.when(i == last, cased(x)).when((i == 0) & titled, x).otherwise(F.coalesce(F.try_element_at(given, x), other(x)))), " ")
 
 
 def surrogates(found: Column, again, secret: str) -> Column:
@@ -171,44 +237,53 @@ def surrogates(found: Column, again, secret: str) -> Column:
         end = F.when(v.k == "email", F.length(v.e) - length(r"\.[^.@]+$")(v)).otherwise(F.length(v.e))
         return F.struct(v.e.alias("e"), v.k.alias("k"), v.d.alias("d"), v.w.alias("w"), start.alias("a"), end.alias("b"), v.e.rlike("^[0-9a-fA-F:]+$").alias("hex"))
 
-    made = lambda s: F.when(s.k == "none", s.e).when(s.k == "ip", _octets(s)).when(s.k == "card", _checked(s)).when(s.k == "name", _name(s)).otherwise(_widened(s))
+    made = lambda s: F.when(s.k == "none", s.e).when(s.k == "ip", _octets(s)).when(s.k == "card", _checked(s)).when(s.k == "name", _name(s, secret)).otherwise(_widened(s))
     return F.transform(F.transform(drawn, bounds), made)
 
 
-def draw_again(docs: DataFrame, secret: str, text_column: str = "text") -> DataFrame | None:
-    """(k, c, n): entities that had to draw n more times until all surrogates differ from each other and from entities."""
-    found = docs.select(F.explode(entities(F.col(text_column))).alias("v")).select("v.*").where("k <> 'none'")
+def draw_again(found: DataFrame, secret: str) -> DataFrame | None:
+    """(k, c, n): of entities (k, c, e), those that had to draw n more times until all surrogates differ from each other
+    and from entities."""
     # One spelling stands for all: forms of one entity have the same digits and letters.
-    known = cut(found.groupBy("k", "c").agg(F.min("e").alias("e")), "entities")
+    known = cut(found.where("k <> 'none'").groupBy("k", "c").agg(F.min("e").alias("e")), "entities")
     moved = None
-    while True:
+    for draw in range(LAST):
         drawn = known.withColumn("n", F.lit(0)) if moved is None else known.join(moved, ["k", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
         one = surrogates(F.array(F.struct("e", "k", "c")), lambda v: F.col("n"), secret)
-        drawn = drawn.withColumn("s", F.get(F.transform(F.get(F.transform(F.array(F.get(one, 0)), lambda e: F.array(F.struct(e.alias("e"), F.col("k").alias("k")))), 0), lambda v: _canonical(v.e, v.k)), 0))
-        drawn = cut(drawn, "drawn")
+        drawn = cut(drawn.withColumn("s", _let(F.struct(F.get(one, 0).alias("e"), F.col("k").alias("k")), lambda v: _canonical(v.e, v.k))), "drawn")
         first = drawn.groupBy("k", F.col("s")).agg(F.min("c").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-        clash = drawn.join(first, ["k", "s"]).where("c <> first").select("k", "c", "n")
-        taken = drawn.join(known.select("k", F.col("c").alias("s")), ["k", "s"], "left_semi").select("k", "c", "n")
-        bad = cut(clash.union(taken).distinct().withColumn("n", F.col("n") + 1), "again")
+        bad = drawn.join(first, ["k", "s"]).where("c <> first").select("k", "c", "n")
+        if draw < STRICT:
+            bad = bad.union(drawn.join(known.select("k", F.col("c").alias("s")), ["k", "s"], "left_semi").select("k", "c", "n"))
+        bad = cut(bad.distinct().withColumn("n", F.col("n") + 1), "again")
         if bad.isEmpty():
             return moved
         moved = bad if moved is None else cut(moved.join(bad, ["k", "c"], "left_anti").unionByName(bad), "moved")
+    raise RuntimeError("a format has too few surrogates for the entities of this corpus")
 
 
 def pseudonymise(docs: DataFrame, secret: str, text_column: str = "text") -> DataFrame:
-    """docs with surrogates in its text, and n_entities, how many were replaced."""
-    moved = draw_again(docs, secret, text_column)
-    text = F.col(text_column)
-    rows = docs.drop("n_entities").withColumn("_found", entities(text))
-    again = lambda v: F.lit(0)
+    """docs with surrogates in its text, and n_entities, how many were replaced.  Keep the secret: it alone leads back."""
+    if not secret:
+        raise ValueError("surrogates need a key")
+    others = [c for c in docs.columns if c not in (text_column, "n_entities")]
+    # Columns of the input live in a struct, where their names meet none of ours.
+    held = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("")) if others else F.struct(F.lit(0).alias(""))
+    rows = docs.select(held.alias("row"), pieces(F.col(f"`{text_column}`").cast("string")).alias("pieces"))
+    rows = cut(rows.withColumns({"matches": F.floor(F.size("pieces") / 2).cast("int"), "number": F.monotonically_increasing_id()}), "pieces")
+    held = rows.where("matches > 0")
+    each = held.select("number", F.explode(entities(F.col("pieces"))).alias("v")).select("number", "v.*")
+    moved = draw_again(each.select("k", "c", "e"), secret)
+    with_surrogates, plain, again = rows, None, lambda v: F.lit(0)
     if moved is not None:
-        held = docs.select(text.alias("t")).withColumn("v", F.explode(entities(F.col("t")))).select(F.sha2("t", 256).alias("_text"), F.col("v.k").alias("k"), F.col("v.c").alias("c")).distinct()
-        counts = held.join(moved, ["k", "c"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "c"), "n"))).alias("_again"))
-        rows = rows.withColumn("_text", F.when(F.size("_found") > 0, F.sha2(text, 256))).join(counts, "_text", "left")
-        again = lambda v: F.coalesce(F.try_element_at("_again", F.concat_ws("|", v.k, v.c)), F.lit(0))
-    parts = F.split(text, PATTERN, -1)
-    instead = rows.withColumn("_new", F.when(F.size("_found") > 0, surrogates(F.col("_found"), again, secret)))
-    joined = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    count = F.size(F.filter("_found", lambda v: v.k != "none"))
-    kept = [F.when(F.size("_found") > 0, joined).otherwise(text).alias(c) if c == text_column else F.col(c) for c in docs.columns if c != "n_entities"]
-    return instead.select(*kept, F.when(text.isNotNull(), count).otherwise(0).alias("n_entities"))
+        counts = each.select("number", "k", "c").distinct().join(moved, ["k", "c"]).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "c"), "n"))).alias("again"))
+        with_surrogates, plain = held.join(counts, "number", "left"), rows.where("matches <= 0 or matches is null")
+        again = lambda v: F.coalesce(F.try_element_at("again", F.concat_ws("|", v.k, v.c)), F.lit(0))
+    found = F.when(F.col("matches") > 0, entities(F.col("pieces")))
+    with_surrogates = with_surrogates.withColumn("found", found).withColumn("new", F.when(F.col("matches") > 0, surrogates(F.col("found"), again, secret)))
+    joined = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.get("new", F.floor(i / 2).cast("int"))).otherwise(p)), "")
+    count = F.coalesce(F.size(F.filter("found", lambda v: v.k != "none")), F.lit(0))
+    out = lambda df, text, n: df.select(*(text.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_entities"), n.alias("n_entities"))
+    whole = F.array_join("pieces", "")
+    told = out(with_surrogates, F.when(F.col("matches") > 0, joined).otherwise(whole), F.when(F.col("matches") > 0, count).otherwise(0))
+    return told if plain is None else told.unionAll(out(plain, whole, F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,12 @@ def vocabulary() -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The key of surrogates: a setting of the session; the default is for tests."""
-    return spark.conf.get("voxmill.pii.key", "a key for tests")
+    """The key of surrogates, a setting of the session.  Where it is unset, a fresh one that the session keeps."""
+    key = spark.conf.get("voxmill.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("voxmill.pii.key", key)
+    return key
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
