@@ -12,7 +12,7 @@ rotation of the list, so distinct ones stay distinct), and the family name is dr
 MRS. SMITH and Smith keep their family name in common, and a Cyrillic feminine form is one of the masculine surrogate.
 
 Distinct entities are checked over the whole corpus: of those whose surrogates are equal, and those whose surrogate is
-an entity of the corpus, all but the first draw again until none is left.  Formats get more room with every second draw,
+an entity of the corpus, all but the first draw again, until none is left.  Formats get more room with every second draw,
 those with few surrogates from the third draw on (names get further syllables, e-mail addresses further letters, numbers
 that begin with + further pairs of digits, octets any width), all others from the ninth on (further digits or letters).
 From draw STRICT on a surrogate may be an entity of the corpus, but never that of another; after LAST draws, which the
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm._store import cut
@@ -56,6 +56,7 @@ FAMILY = {
 TITLES = {"m": "Mr Herr Señor Sr".split(), "f": "Mrs Ms Miss Frau Mme Mlle Señora Sra".split(), "": "Dr Prof".split()}
 
 _ALL_GIVEN = [name for names in GIVEN.values() for name in names]
+_LATIN = [*GIVEN["latin", "m"], *GIVEN["latin", "f"]]
 _W = r"[\p{L}\p{N}]"
 _CAPITAL = r"\p{Lu}\p{L}{1,40}(?:['’-]\p{Lu}\p{L}{1,40})?"
 _INTRODUCED = r"(?<=[Nn]ame is |[Nn]ame: |[Ss]igned by |[Ss]incerely, )"
@@ -175,12 +176,11 @@ def _widened(s: Column) -> Column:
     last = lambda j: F.get(s.d, F.size(s.d) - 1 - j % F.size(s.d))
     letter = lambda j: F.substring(F.lit(_LETTERS[0][0]), (last(j) % F.when(s.hex, 6).otherwise(26) + 1).cast("int"), F.lit(1))
     digits = lambda j: F.lpad((last(j) % 100).cast("string"), 2, "0")
-    more = lambda sign, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda j: sign(j - 1)), "")
-    halves = lambda t: F.concat(F.substring_index(t, "@", 1), more(letter, s.w), F.lit("@"), F.substring_index(t, "@", -1))
-    late = s.w - _FIXED + 1
-    wide = F.when(s.k == "email", _let(_poured(s), halves)).when((s.k == "phone") & s.e.startswith("+"), F.concat(_poured(s), more(digits, s.w)))
-    wide = wide.when((late > 0) & s.k.isin("phone", "ssn", "iban"), F.concat(_poured(s), more(digits, late))).when((late > 0) & s.k.isin("secret", "ip6"), F.concat(_poured(s), more(letter, late)))
-    return F.when((s.w > 0) & wide.isNotNull(), wide).otherwise(_poured(s))
+    early = (s.k == "email") | ((s.k == "phone") & s.e.startswith("+"))
+    steps = F.sequence(F.lit(1), F.when(early, s.w).otherwise(F.greatest(s.w - _FIXED + 1, F.lit(1))))
+    more = F.array_join(F.transform(steps, lambda j: F.when(s.k.isin("email", "secret", "ip6"), letter(j - 1)).otherwise(digits(j - 1))), "")
+    wide = F.when(s.k == "email", F.concat(F.substring_index(s.p, "@", 1), more, F.lit("@"), F.substring_index(s.p, "@", -1))).otherwise(F.concat(s.p, more))
+    return F.when(F.when(early, s.w > 0).otherwise(s.w >= _FIXED), wide).otherwise(s.p)
 
 
 def _octets(s: Column) -> Column:
@@ -190,12 +190,10 @@ def _octets(s: Column) -> Column:
 
 def _checked(s: Column) -> Column:
     """A card number whose last digit is right; late draws put digits in before it."""
-    late = s.w - _FIXED + 1
     digits = lambda j: F.lpad((F.get(s.d, F.size(s.d) - j % F.size(s.d)) % 100).cast("string"), 2, "0")
-    more = F.when(late > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(late, F.lit(1))), digits), "")).otherwise("")
-    bare = F.concat(F.regexp_replace(_poured(s), "[0-9]$", ""), more)
+    more = F.when(s.w >= _FIXED, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(s.w - _FIXED + 1, F.lit(1))), digits), "")).otherwise("")
     digit = lambda t: ((10 - _check_sum(F.regexp_replace(t, "[^0-9]", ""), 1) % 10) % 10).cast("string")
-    return _let(bare, lambda t: F.concat(t, digit(t)))
+    return _let(F.concat(F.regexp_replace(s.p, "[0-9]$", ""), more), lambda t: F.concat(t, digit(t)))
 
 
 def _rotation(secret: str) -> dict[str, str]:
@@ -218,9 +216,9 @@ def _name(s: Column, secret: str) -> Column:
     made = made.when(of.rlike(r"\p{IsGreek}"), family(FAMILY["greek"])).otherwise(family(FAMILY["latin"]))
     given = F.create_map(*(F.lit(x) for pair in _rotation(secret).items() for x in pair))
     last = F.size(F.split(s.e, " ")) - 1
-    cased = lambda x: F.when((F.length(x) > 1) & (x == F.upper(x)), F.upper(made)).otherwise(made)
+    cased = lambda x: _let(made, lambda m: F.when((F.length(x) > 1) & (x == F.upper(x)), F.upper(m)).otherwise(m))
     titled = F.regexp_replace(s.e, " .*", "").rlike(rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?$")
-    other = lambda x: F.get(F.array(*map(F.lit, _ALL_GIVEN)), F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{secret}|given|"), F.lower(x), F.lit(f"|{secret}")), 256), 1, 6), 16, 10).cast("int"), F.lit(len(_ALL_GIVEN))))
+    other = lambda x: F.get(F.array(*map(F.lit, _LATIN)), F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{secret}|given|"), F.lower(x), F.lit(f"|{secret}")), 256), 1, 6), 16, 10).cast("int"), F.lit(len(_LATIN))))
     return F.array_join(F.transform(F.split(s.e, " "), lambda x, i: F.when(i == last, cased(x)).when((i == 0) & titled, x).otherwise(F.coalesce(F.try_element_at(given, x), other(x)))), " ")
 
 
@@ -238,7 +236,8 @@ def surrogates(found: Column, again, secret: str) -> Column:
         return F.struct(v.e.alias("e"), v.k.alias("k"), v.d.alias("d"), v.w.alias("w"), start.alias("a"), end.alias("b"), v.e.rlike("^[0-9a-fA-F:]+$").alias("hex"))
 
     made = lambda s: F.when(s.k == "none", s.e).when(s.k == "ip", _octets(s)).when(s.k == "card", _checked(s)).when(s.k == "name", _name(s, secret)).otherwise(_widened(s))
-    return F.transform(F.transform(drawn, bounds), made)
+    poured = lambda s: F.struct(*(s[c].alias(c) for c in ("e", "k", "d", "w", "hex")), F.when(~s.k.isin("none", "ip", "name"), _poured(s)).alias("p"))
+    return F.transform(F.transform(F.transform(drawn, bounds), poured), made)
 
 
 def draw_again(found: DataFrame, secret: str) -> DataFrame | None:
@@ -246,19 +245,20 @@ def draw_again(found: DataFrame, secret: str) -> DataFrame | None:
     and from entities."""
     # One spelling stands for all: forms of one entity have the same digits and letters.
     known = cut(found.where("k <> 'none'").groupBy("k", "c").agg(F.min("e").alias("e")), "entities")
-    moved = None
+    taken = known.select("k", F.col("c").alias("s"), F.lit(True).alias("taken"))
+    waiting, settled = known.withColumn("n", F.lit(0)), None
     for draw in range(LAST):
-        drawn = known.withColumn("n", F.lit(0)) if moved is None else known.join(moved, ["k", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
         one = surrogates(F.array(F.struct("e", "k", "c")), lambda v: F.col("n"), secret)
-        drawn = cut(drawn.withColumn("s", _let(F.struct(F.get(one, 0).alias("e"), F.col("k").alias("k")), lambda v: _canonical(v.e, v.k))), "drawn")
-        first = drawn.groupBy("k", F.col("s")).agg(F.min("c").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-        bad = drawn.join(first, ["k", "s"]).where("c <> first").select("k", "c", "n")
-        if draw < STRICT:
-            bad = bad.union(drawn.join(known.select("k", F.col("c").alias("s")), ["k", "s"], "left_semi").select("k", "c", "n"))
-        bad = cut(bad.distinct().withColumn("n", F.col("n") + 1), "again")
-        if bad.isEmpty():
-            return moved
-        moved = bad if moved is None else cut(moved.join(bad, ["k", "c"], "left_anti").unionByName(bad), "moved")
+        drawn = waiting.withColumn("s", _let(F.struct(F.get(one, 0).alias("e"), F.col("k").alias("k")), lambda v: _canonical(v.e, v.k)))
+        fine = F.row_number().over(Window.partitionBy("k", "s").orderBy("c")) == 1
+        drawn = drawn.withColumn("fine", fine)
+        for other in ([taken] if draw < STRICT else []) + ([settled.select("k", "s", F.lit(True).alias("taken"))] if settled is not None else []):
+            drawn = drawn.join(other, ["k", "s"], "left").withColumn("fine", F.col("fine") & F.col("taken").isNull()).drop("taken")
+        drawn = cut(drawn, "drawn")
+        settled = drawn.where("fine") if settled is None else settled.unionByName(drawn.where("fine"))
+        waiting = drawn.where("not fine").select("k", "c", "e", (F.col("n") + 1).alias("n"))
+        if waiting.isEmpty():
+            return settled.where("n > 0").select("k", "c", "n") if draw else None
     raise RuntimeError("a format has too few surrogates for the entities of this corpus")
 
 
