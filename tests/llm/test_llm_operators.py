@@ -215,7 +215,7 @@ def test_compact_windows():
 
 def test_leaks(spark, rows):
     items = [(1, " ".join(rows[5][1].split()[10:50])), (2, _changed(" ".join(rows[6][1].split()[0:60]), 1, 7)), (3, "one two"), (4, None), (5, _prose(40, 500))]
-    out = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), item_block=2).collect()
+    out = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), item_shingles=200).collect()
     wanted = set()
     for d, text in rows:
         s, n = _shingles(text), len(_words(text))
@@ -236,6 +236,24 @@ def test_leaks(spark, rows):
     assert {(r.doc_id, r.item_id) for r in out} == wanted and {(5, 1), (6, 2), (32, 3)} <= wanted
 
 
+def test_leaks_of_items_that_repeat_words(spark):
+    items, docs = [], []
+    for k in range(60):
+        passage = _prose(150, 3000 + k)
+        items.append((k, passage + " so" * 24))
+        docs.append((k, _prose(20, 4000 + k) + " " + passage + " " + _prose(40, 5000 + k)))
+    out = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(k, k) for k in range(60)} and all(r.similarity >= 0.75 for r in out)
+
+
+def test_window_sums_tell_repeats_apart():
+    found = np.random.default_rng(8).integers(0, 6, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    got = decontaminate.window_sums(found, 17)
+    for i in range(60 - 17 + 1):
+        part = found[i : i + 17]
+        assert (got[i] == decontaminate.signs(decontaminate.told_apart(part, decontaminate.occurrences(part))).sum(axis=0)).all()
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block_docs": 3, "block_shingles": 200}])
 def test_jaccard_groups(spark, rows, bounds):
     got = jaccard.link_documents(spark.createDataFrame(rows, DOCS), **bounds).collect()
