@@ -7,8 +7,10 @@ whose cell, half a space away from the query's own, begins within the radius.  I
 tables of the query's residual against the codebooks; a vector stays if its looked-up distance is within the radius plus
 its own error, so that by the triangle inequality none within the radius goes.  What stays is decided by the exact cosine.
 
-Lists are dealt into tiles of a bounded size, and queries visit all tiles of their lists.  A tile returns for each query
-the number of links and only as many of the links as join its parts together.  Codebooks are trained on a bounded sample;
+Lists are dealt into tiles of a bounded size, and queries visit all tiles of their own list and of the probed lists that
+come after it: of two lists, one probes the other, and what links counts for both sides.  Their number follows from the
+largest label, as vectors of others are never compared.  Vectors travel in the precision that they came in.  A tile returns
+for each vector the number of links and only as many of the links as join its parts together.  Codebooks are trained on a bounded sample;
 every row is indexed, and the sample decides speed alone.
 
 Defined results: a vector that is null, empty, zero, or holds nulls or non-finite numbers, and any vector with a null label
@@ -101,6 +103,11 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors from their bytes, in single or double precision."""
+    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * width else np.float64).astype(np.float64) for b in column.to_pylist()])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -116,16 +123,20 @@ def _placed(shared, cosine: float) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser: Quantiser = shared.value
         for batch in batches:
-            x = _unit(_vectors(batch.column("vec"), quantiser.width))
+            raw = _vectors(batch.column("vec"), quantiser.width)
+            x = _unit(raw)
             own, codes, left_out = quantiser.encode(x)
-            probes = quantiser.probes(x, own, _radius(cosine))
+            probes = [p[p >= o] for p, o in zip(quantiser.probes(x, own, _radius(cosine)), own, strict=True)]
             many = np.array([len(p) for p in probes], int)
             row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), many)])
             where = np.concatenate([own, *probes])
             visitor = np.arange(len(row)) >= len(x)
-            taken = batch.take(pa.array(row))
-            extra = [pa.array(where, pa.int32()), pa.array(visitor), pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(row)), pa.array(left_out[row])]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *extra], [*batch.schema.names, "list", "visitor", "codes", "left_out"])
+            short = raw.astype(np.float32)
+            packed = short if (short == raw).all() else raw
+            vectors = pa.array([v.tobytes() for v in packed], pa.binary())
+            taken = batch.drop_columns(["vec"]).append_column("vec", vectors).take(pa.array(row))
+            extra = [pa.array(where, pa.int32()), pa.array(own[row], pa.int32()), pa.array(visitor), pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(row)), pa.array(left_out[row])]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *extra], [*taken.schema.names, "list", "own", "visitor", "codes", "left_out"])
 
     return run
 
@@ -140,7 +151,7 @@ def _links(shared, cosine: float) -> callable:
         def close() -> None:
             if held.get("rows"):
                 whole = pa.Table.from_batches(held.pop("rows")).combine_chunks().to_batches()[0]
-                x = _unit(_vectors(whole.column("vec"), quantiser.width))
+                x = _unit(_unpacked(whole.column("vec"), quantiser.width))
                 codes = np.frombuffer(b"".join(whole.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
                 held.update(x=x, codes=codes, left_out=whole.column("left_out").to_numpy(), cid=whole.column("cid").to_numpy(), n=whole.column("n").to_numpy(), part=np.arange(len(x)))
 
@@ -166,13 +177,16 @@ def _links(shared, cosine: float) -> callable:
 
 
 def _visit(quantiser: Quantiser, held: dict, piece: pa.RecordBatch, of: int, radius: float, cosine: float) -> Iterator[pa.RecordBatch]:
-    q, me = _unit(_vectors(piece.column("vec"), quantiser.width)), piece.column("cid").to_numpy()
+    q, me = _unit(_unpacked(piece.column("vec"), quantiser.width)), piece.column("cid").to_numpy()
     near = quantiser.looked_up(q - quantiser.centres[of], held["codes"]) <= radius + held["left_out"] + 1e-6
     a, b = np.nonzero(near)
     exact = np.concatenate([np.einsum("ij,ij->i", q[a[k : k + 65536]], held["x"][b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
     linked = (exact >= cosine) & (me[a] != held["cid"][b])
     a, b = a[linked], b[linked]
     counts = np.bincount(a, weights=held["n"][b], minlength=len(q)).astype(np.int64)
+    # A vector of another list comes here alone, and is not visited in turn.
+    across = (piece.column("own").to_numpy() != of)[a]
+    back = np.bincount(b[across], weights=piece.column("n").to_numpy()[a[across]], minlength=len(held["cid"])).astype(np.int64)
     ends: list[tuple[int, int]] = []
     for k, some in zip(*_runs(a, b), strict=True):
         parts = np.unique(held["part"][some])
@@ -180,10 +194,10 @@ def _visit(quantiser: Quantiser, held: dict, piece: pa.RecordBatch, of: int, rad
         ends += [(int(me[k]), int(held["cid"][f])) for f in firsts]
         if len(parts) > 1:
             held["part"][np.isin(held["part"], parts)] = parts[0]
-    has = np.flatnonzero(counts)
-    cid = np.concatenate([me[has], [e[0] for e in ends]]).astype(np.int64)
-    n = pa.array([*counts[has].tolist(), *[None] * len(ends)], pa.int64())
-    other = pa.array([*[None] * len(has), *(e[1] for e in ends)], pa.int64())
+    has, returned = np.flatnonzero(counts), np.flatnonzero(back)
+    cid = np.concatenate([me[has], held["cid"][returned], [e[0] for e in ends]]).astype(np.int64)
+    n = pa.array([*counts[has].tolist(), *back[returned].tolist(), *[None] * len(ends)], pa.int64())
+    other = pa.array([*[None] * (len(has) + len(returned)), *(e[1] for e in ends)], pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(cid), n, other], ["cid", "n", "other"])
 
 
@@ -204,14 +218,14 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, id_column: str = "v
     rows = rows.where("sound").drop("sound")
     classes = cut(rows.groupBy("label", "vec").agg(F.min("vec_id").alias("head"), F.count("*").alias("n")), "vectors")
     classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id(), "width": F.size("vec")}), "classes")
-    many, width = classes.agg(F.count("*"), F.max("width")).first()
+    many, width = classes.groupBy("label").agg(F.count("*").alias("n"), F.max("width").alias("width")).agg(F.max("n"), F.max("width")).first()
     if not many:
         return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(trained).toArrow().combine_chunks()
     quantiser = Quantiser(_unit(_vectors(sample["vec"].combine_chunks() if isinstance(sample["vec"], pa.ChunkedArray) else sample["vec"], width)), int(min(MOST_LISTS, max(1, many // per_list))))
     shared = spark.sparkContext.broadcast(quantiser)
     plain = classes.select("cid", "n", "label", "width", "vec")
-    placed = cut(plain.mapInArrow(_placed(shared, cosine), "cid long, n long, label string, width int, vec array<double>, list int, visitor boolean, codes binary, left_out double"), "placed")
+    placed = cut(plain.mapInArrow(_placed(shared, cosine), "cid long, n long, label string, width int, vec binary, list int, own int, visitor boolean, codes binary, left_out double"), "placed")
     sizes = placed.where("not visitor").groupBy("label", "width", "list").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     tiled = placed.join(cut(sizes, "sizes"), ["label", "width", "list"])
     tiled = tiled.withColumn("tile", F.explode(F.when(F.col("visitor"), F.expr("sequence(0, tiles - 1)")).otherwise(F.array(F.expr("cast(pmod(xxhash64(cid), tiles) as int)"))))).drop("tiles")
