@@ -15,7 +15,9 @@ late, so that a passage that many documents share brings together only documents
 3. Each block gets its texts once and is multiplied: overlap counts accumulate by column, densely for frequent columns
    and as co-occurring row pairs for rare ones, and a pair stays if 7 * overlap >= 3 * (size + size).  Only a spanning
    forest of a block's links leaves it.  A block over the size bound is dealt into tiles; documents outside its main
-   component then visit every tile, which compares what no link has joined so far.
+   component then visit the tiles that hold one of their prefix shingles, in slices of the same bound, which compares what
+   no link has joined so far.  So no product is larger than two bounds, however large a block, and none is of a document
+   with a tile that it can have no link in.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing.  A text under five
 words has its whole word sequence as one shingle.  Rows with a null id count their shingles and have a null component.
@@ -272,6 +274,7 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = counted.mapInArrow(_shared, "of long, room int, many int, key long")
     entries = shared.repartition("of").sortWithinPartitions("of", "many", "key").mapInArrow(_shared_prefixes, "key long, doc long")
     entries = entries.union(rows.where("late = 1").select("key", F.col("of").alias("doc")))
+    entries = cut(entries, "entries")
     lists = entries.repartition("key").sortWithinPartitions("key", "doc")
     ties = cut(lists.mapInArrow(_tie_lists, "a long, b long").distinct(), "ties")
     drop(rows)
@@ -282,22 +285,30 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sizes = members.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where("docs > 1")
     sizes = cut(sizes.select("block", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles), F.lit(1)).cast("int").alias("tiles")), "sizes")
     members = members.join(sizes, "block")
-    home = members.select("block", "tiles", F.expr("cast(pmod(xxhash64(doc), tiles) as int)").alias("tile"), "doc", F.col("doc").alias("label"), F.lit(False).alias("visitor"))
+    home = members.select("block", "tiles", F.expr("cast(pmod(xxhash64(doc), tiles) as int)").alias("tile"), "doc", F.col("doc").alias("label"), F.lit(False).alias("visitor"), "n")
     large = sizes.where("tiles > 1")
     many = large.count() > 0
     rows = home
     if many:
         pivots = members.where("tiles > 1").withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("doc"), "doc"))).where(f"place <= {_PIVOTS}")
-        rows = home.unionByName(_visits(pivots.select("block", "tiles", "doc", F.col("doc").alias("label"))))
-    links = cut(_products(texts, rows.drop("tiles"), True), "links")
+        everywhere = pivots.select("block", "tiles", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "doc", F.col("doc").alias("label"), F.lit(True).alias("visitor"), "n")
+        rows = home.unionByName(everywhere)
+    links = cut(_products(texts, rows.drop("tiles", "n"), True), "links")
     if many:
         joined = components(links, "joined").select(F.col("id").alias("doc"), F.col("component").alias("found"))
         labelled = cut(home.where("tiles > 1").join(joined, "doc", "left").withColumn("label", F.coalesce("found", "label")).drop("found"), "labelled")
         by_label = labelled.groupBy("block", "label").count()
         main = by_label.groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         open_blocks = cut(labelled.join(main.drop("labels"), "block"), "open")
-        visits = _visits(open_blocks.where("label <> main").select("block", "tiles", "doc", "label"))
-        more = _products(texts, open_blocks.drop("main").unionByName(visits).drop("tiles"), False)
+        visits = _visits(open_blocks, heads.select("s1", "doc"), entries.withColumnRenamed("doc", "s1"))
+        slices_ = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int")
+        sliced = cut(visits.groupBy("block", "tile").agg(slices_.alias("slices")), "slices")
+        # A slice of a tile's visitors meets all of its residents in a tile of its own.
+        of_slice = (F.col("tile") + F.col("slice") * F.col("tiles")).cast("int").alias("tile")
+        guests = visits.join(sliced, ["block", "tile"]).withColumn("slice", F.expr("cast(pmod(xxhash64(doc, 1), slices) as int)"))
+        hosts = open_blocks.join(sliced, ["block", "tile"]).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+        product = ["block", of_slice, "doc", "label", "visitor"]
+        more = _products(texts, hosts.select(*product).unionByName(guests.select(*product)), False)
         links = links.union(cut(more, "links"))
     parts = components(links.union(same), "parts").select(F.col("id").alias("doc"), F.col("component").alias("part"))
     drop(first)
@@ -305,5 +316,10 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("part", "doc").alias("component_id"))
 
 
-def _visits(rows: DataFrame) -> DataFrame:
-    return rows.select("block", "tiles", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), "doc", "label", F.lit(True).alias("visitor"))
+def _visits(rows: DataFrame, prints: DataFrame, entries: DataFrame) -> DataFrame:
+    """Documents outside their block's main component, once for each other tile that holds one of their prefix shingles."""
+    held = entries.join(prints, "s1").join(rows, "doc").select("key", "block", "tiles", "tile", "doc", "label", "n", (F.col("label") != F.col("main")).alias("outside"))
+    held = cut(held.distinct(), "held")
+    to = held.select("key", "block", F.col("tile").alias("to")).distinct()
+    met = held.where("outside").join(to, ["key", "block"]).where("tile <> to")
+    return cut(met.select("block", "tiles", F.col("to").alias("tile"), "doc", "label", F.lit(True).alias("visitor"), "n").distinct(), "visits")

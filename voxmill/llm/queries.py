@@ -85,6 +85,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
+def _words(text: str) -> str:
+    """SQL for the words of a text; none where there is no text."""
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(words: str) -> str:
+    """SQL for the runs of five words; fewer words are one run."""
+    runs = f"list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' '))"
+    return f"case when len({words}) >= 5 then {runs} when len({words}) > 0 then [array_to_string({words}, ' ')] else [] end"
+
+
 ORACLE_SQL = {
     "op2_perspective_rotation": """
 with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') said from conversations),
@@ -102,4 +113,62 @@ from placed""",
 with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
 h as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end holder from p)
 select page_id, payload_bytes, payload_digest, case when page_id < holder then 'revisit' else 'response' end as record_type, case when page_id < holder then holder end as refers_to from h""",
+    "op5_embedding_near_dedup": """
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id a, b.vec_id b from v a join v b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+parts as (select a, min(b) part from reach group by a),
+counts as (select a, count(*) n from links group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(part, vec_id)) component_id,
+  vec_id = least(vec_id, coalesce(part, vec_id)) kept
+from embeddings left join counts on counts.a = vec_id left join parts on parts.a = vec_id""",
+    "op8_benchmark_decontamination": f"""
+with d as (select doc_id, w, len(w) words, greatest(len(w) - 4, 1) size from (select doc_id, {_words('text')} w from documents) where len(w) > 0),
+i as (select item_id, w, len(w) words, greatest(len(w) - 4, 1) size from (select item_id, {_words('text')} w from benchmark) where len(w) > 0),
+ds as (select doc_id, unnest(range(size)) pos, unnest({_shingles('w')}) sh from d),
+im as (select item_id, sh, count(*) times from (select item_id, unnest({_shingles('w')}) sh from i) group by all),
+hits as (select doc_id, item_id, pos from ds join im using (sh)),
+pairs as (
+  select doc_id, item_id, least(d.words, i.words) words, greatest(least(d.words, i.words) - 4, 1) have, d.size, i.size item_size
+  from (select doc_id, item_id, count(*) n from hits group by all) join d using (doc_id) join i using (item_id)
+  where i.words >= 5 and 4 * n >= 3 * greatest(least(d.words, i.words) - 4, 1)),
+starts as (
+  select distinct doc_id, item_id, unnest(range(greatest(0, pos - have + 1), least(pos, size - have) + 1)) start
+  from hits join pairs using (doc_id, item_id)),
+bags as (
+  select doc_id, item_id, start, sh, count(*) n from starts join pairs using (doc_id, item_id) join ds using (doc_id)
+  where pos between start and start + have - 1 group by all),
+shared as (
+  select doc_id, item_id, start, sum(least(n, times)) common from bags join im using (item_id, sh) group by all),
+scored as (
+  select doc_id, item_id, start, words, common / (have + item_size - common) similarity from shared join pairs using (doc_id, item_id)),
+short as (
+  select doc_id, item_id, unnest(range(d.words - i.words + 1)) start, i.words, d.w dw, i.w iw from d, i
+  where i.words < 5 and d.words >= 5),
+found as (
+  select doc_id, item_id, start, words, similarity from scored where similarity >= 0.75
+  union all select doc_id, item_id, start, words, 1.0 from short where dw[start + 1:start + words] = iw
+  union all select doc_id, item_id, 0, d.words, 1.0 from d join i using (w) where d.words < 5)
+select doc_id, item_id, arg_max(start, (similarity, -start)) start, arg_max(words, (similarity, -start)) n_words,
+  round(max(similarity), 9) similarity
+from found group by doc_id, item_id""",
+    "op9_ngram_jaccard_join": f"""
+with recursive w as (select doc_id, {_words('text')} w from documents),
+sets as (select doc_id, list_distinct({_shingles('w')}) s from w),
+flat as (select doc_id, unnest(s) sh from sets),
+sizes as (select doc_id, len(s) n from sets),
+common as (select a.doc_id a, b.doc_id b, count(*) n from flat a join flat b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * common.n >= 75 * (x.n + y.n - common.n)),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+parts as (select a, min(b) part from reach group by a)
+select doc_id, n::bigint n_shingles, least(doc_id, coalesce(part, doc_id)) component_id
+from sizes left join parts on a = doc_id""",
 }
