@@ -10,8 +10,8 @@ def _one(spark, column):
 
 
 def test_redaction_keeps_dates_and_versions(spark):
-    said = "Write to a.b@c.example.org or see https://x.example/y, ring +49 (30) 1234-56789; 2024-01-02, v1.2.3 stay"
-    assert _one(spark, text.redact(F.lit(said))) == "Write to [email] or see [url] ring [phone]; 2024-01-02, v1.2.3 stay"
+    said = "Write to a.b@c.example.org or see https://x.example/y ring +49 (30) 1234-56789; 2024-01-02, v1.2.3 stay, a@b.example."
+    assert _one(spark, text.redact(F.lit(said))) == "Write to [email] or see [url] ring [phone]; 2024-01-02, v1.2.3 stay, [email]."
 
 
 def test_compose_drops_parts_without_words(spark):
@@ -25,8 +25,28 @@ def test_word_runs_of_short_texts_are_none(spark):
 
 
 def test_topic_names(spark):
-    assert _one(spark, text.clean_topic_name(F.lit('Topic: "Slow app start".\nmore'))) == "Slow app start"
+    assert _one(spark, text.clean_topic_name(F.lit('Topic: "Slow app start"\nmore'))) == "Slow app start"
     assert _one(spark, text.clean_topic_name(F.lit("One"))) is None
+    assert _one(spark, text.clean_topic_name(F.lit("\n  'crashes on (old) phones!'"))) == "Crashes on (old) phones"
+    assert _one(spark, text.clean_topic_name(F.lit("плохой app"))) is None
+
+
+def test_stems(spark):
+    words = {"buildings": "build", "build": "build", "game": "game", "games": "game", "changing": "chang", "change": "chang", "stories": "story", "need": "need", "class": "class", "ads": "ad", "learned": "learn"}
+    assert {w: _one(spark, text.stem(F.lit(w))) for w in words} == words
+
+
+def test_redaction_marks_places_not_digits(spark):
+    assert _one(spark, text.redact(F.lit("0123456789 and x0123456789y"))) == "[phone] and x0123456789y"
+
+
+def test_detector_tells_languages_apart(spark):
+    said = {"en": "the weather is nice and we are going to the beach with our friends", "de": "das wetter ist schön und wir gehen mit unseren freunden an den strand", "es": "el tiempo es bueno y vamos a la playa con nuestros amigos"}
+    rows = [(" ".join(t.split()[k:] + t.split()[:k]), lang) for lang, t in said.items() for k in range(6)]
+    detector = language.NgramDetector.fit(spark.createDataFrame(rows, "text string, lang string"))
+    new = [("the friends are nice and the beach is near", "en"), ("unser freund ist mit dem wetter zufrieden", "de"), ("nuestra playa es buena para los amigos", "es")]
+    out = spark.createDataFrame(new, "text string, lang string").withColumn("d", language.detected(detector)(F.col("text"))).collect()
+    assert [r.d.candidate for r in out] == [r.lang for r in out] and all(0 < r.d.confidence <= 1 for r in out)
 
 
 def test_binomial_tail(spark):

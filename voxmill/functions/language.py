@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,23 +53,91 @@ class Translator(Protocol):
     def translate(self, texts: pd.Series, source: str, target: str) -> pd.Series: ...
 
 
+class NgramDetector:
+    """Naive Bayes on hashed byte n-grams of one to four bytes, with normalised probabilities."""
+
+    SIZES, SPACE = (1, 2, 3, 4), 1 << 14
+
+    def __init__(self, languages: list[str], weights: np.ndarray, prior: np.ndarray):
+        self.languages, self.weights, self.prior = languages, weights, prior
+
+    @classmethod
+    def grams(cls, text: str) -> np.ndarray:
+        """Counts of the hashed n-grams of a whole text."""
+        signs = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode(), np.uint8).astype(np.uint32)
+        found = []
+        for size in cls.SIZES:
+            value = np.full(max(0, len(signs) - size + 1), size, np.uint32)
+            for j in range(size):
+                value = value * np.uint32(16777619) ^ signs[j : len(signs) - size + 1 + j]
+            found.append((value ^ value >> np.uint32(15)) % np.uint32(cls.SPACE))
+        return np.bincount(np.concatenate(found), minlength=cls.SPACE)
+
+    @classmethod
+    def fit(cls, texts: DataFrame, text_column: str = "text", language_column: str = "lang") -> NgramDetector:
+        """From texts with a language: what comes to the driver is a table of n-gram counts of each language."""
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for language, text in zip(batch["language"], batch["text"], strict=True):
+                    # a text counts by its shares, so that long ones do not drown the rest
+                    grams = cls.grams(text)
+                    held[language] = held.get(language, np.zeros(cls.SPACE)) + grams / max(grams.sum(), 1) * min(grams.sum(), 2000)
+            yield pd.DataFrame([(k, v.tolist()) for k, v in held.items()], columns=["language", "counts"])
+
+        rows = texts.where(F.col(language_column).isNotNull() & (F.length(text_column) > 0)).select(F.col(language_column).alias("language"), F.col(text_column).alias("text"))
+        sums = rows.mapInPandas(counted, "language string, counts array<double>").select("language", F.posexplode("counts").alias("gram", "n")).where("n > 0")
+        table = sums.groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas()
+        languages = sorted(table["language"].unique())
+        counts = np.full((len(languages), cls.SPACE), 0.05)
+        counts[[languages.index(x) for x in table["language"]], table["gram"]] += table["n"]
+        return cls(languages, np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(np.full(len(languages), 1 / max(len(languages), 1))))
+
+    def detect(self, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            grams = self.grams(text)
+            # n-grams of a text are not independent: their evidence counts by its square root
+            odds = self.prior + self.weights @ grams / np.sqrt(max(grams.sum(), 1))
+            p = np.exp(odds - odds.max())
+            p /= p.sum()
+            out.append((self.languages[int(p.argmax())], float(p.max())) if len(p) and text else (None, None))
+        return pd.DataFrame(out, columns=["candidate", "confidence"])
+
+
+def detected(detector: Detector):
+    """A function of a text column: struct<candidate, confidence>, in Arrow batches."""
+
+    @F.pandas_udf("candidate string, confidence double")
+    def told(batch: pd.Series) -> pd.DataFrame:
+        return detector.detect(batch)
+
+    return told
+
+
 class HashingEmbedder:
-    """A unit vector of hashed words: a stand-in without a model."""
+    """A unit vector of hashed words: a stand-in without a model, with prefixes for documents and for queries."""
+
+    DOCUMENT, QUERY = "passage: ", "query: "
 
     def __init__(self, dimension: int = 64):
         self.model_name, self.dimension = f"hashing-{dimension}", dimension
 
-    def embed(self, texts: pd.Series) -> list[list[float]]:
-        import zlib
-
-        out = []
-        for text in texts.fillna(""):
-            v = [0.0] * self.dimension
-            for word in text.lower().split():
-                v[zlib.crc32(word.encode()) % self.dimension] += 1.0
-            length = sum(x * x for x in v) ** 0.5
-            out.append([x / length for x in v] if length else v)
-        return out
+    def embed(self, texts: pd.Series, prefix: str = DOCUMENT) -> list[list[float]]:
+        """The prefix is a word like others here; a model tells documents and queries apart by it."""
+        places: dict[str, int] = {}
+        out = np.zeros((len(texts), self.dimension))
+        for k, text in enumerate((prefix + texts.fillna("")).str.lower().str.split()):
+            for word in text:
+                if word not in places:
+                    places[word] = zlib.crc32(word.encode()) % self.dimension
+            np.add.at(out[k], [places[w] for w in text], 1.0)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(length > 0, length, 1)).tolist()
+
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed(pd.Series([text]), self.QUERY)[0]
 
 
 def embedded(texts: DataFrame, embedder: Embedder, text_column: str = "text") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from math import exp, lgamma, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.functions.fingerprint import source_key
 from voxmill.functions.stats import ln_binomial_tail
 
 ALPHA, LEAST_COUNT, LEAST_LIFT, LEAST_DAYS = 0.01, 5, 3.0, 5
@@ -19,6 +20,14 @@ def observations(reviews: DataFrame, max_rating: int | None = 3) -> DataFrame:
     return reviews if max_rating is None else reviews.where(F.col("rating") <= max_rating)
 
 
+def run_observations(members: DataFrame, reviews: DataFrame, listings: DataFrame, enriched: DataFrame, run_id, max_rating: int | None = 3) -> DataFrame:
+    """The reviews of a topic run with their source, UTC day and version; those without enrichment have the store's language."""
+    rows = members.where(F.col("run_id") == run_id).join(observations(reviews, max_rating), "review_id")
+    rows = rows.join(listings.select("listing_id", "store"), "listing_id").join(enriched.select("review_id", F.col("language").alias("resolved")), "review_id", "left")
+    source = source_key(F.col("store"), F.col("country"), F.coalesce("resolved", "language"))
+    return rows.select("review_id", F.col("topic_id").alias("topic"), source.alias("source"), F.to_date("reviewed_at").alias("day"), "app_version", "distance")
+
+
 def usable_days(obs: DataFrame) -> DataFrame:
     """Days with reviews, strictly between a source's first and last, with the source's reviews of the day."""
     daily = obs.groupBy("source", "day").agg(F.count("*").alias("day_reviews"))
@@ -69,6 +78,14 @@ def member_ids(cells: DataFrame, obs: DataFrame, order: Column, samples: int = 3
     return placed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "review_id"))), lambda x: x.review_id).alias("review_ids"))
 
 
+def incident_members(found: DataFrame, alerts: DataFrame, obs: DataFrame, order: Column) -> DataFrame:
+    """Each incident's reviews with their place: those of its most significant day first, then in an order."""
+    keys = ["source", "topic", "incident"]
+    inside = alerts.select("source", "topic", "day", "ln_p").join(found.select(*keys, "first_day", "last_day"), ["source", "topic"]).where(F.col("day").between(F.col("first_day"), F.col("last_day")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ln_p", "day", order, "review_id"))
+    return obs.join(inside.drop("first_day", "last_day"), ["source", "topic", "day"]).withColumn("place", place).select(*keys, "place", "review_id")
+
+
 def incidents(alerts: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
     """Alerts of a source and topic as incidents: islands of days with gaps of `gap_days` at most."""
     by_day = Window.partitionBy("source", "topic").orderBy("day")
@@ -98,67 +115,76 @@ def release_attribution(found: DataFrame, alerts: DataFrame, obs: DataFrame, day
     return out.withColumn("release", F.coalesce(release, F.lit(False)))
 
 
-def match_spikes(spikes: DataFrame, found: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Each spike with the first incident of its source and topic that covers its day, or why there is none."""
-    i = found.select("source", "topic", "incident", "first_day", "last_day")
-    joined = spikes.select("source", "topic", "day").join(i, (spikes.source == i.source) & (spikes.topic == i.topic) & spikes.day.between(i.first_day, i.last_day), "left").drop(i.source).drop(i.topic)
+def match_spikes(spikes: DataFrame, found: DataFrame, obs: DataFrame, baseline_days: int = BASELINE_DAYS, least_days: int = LEAST_DAYS) -> DataFrame:
+    """Each spike with the first incident of its source and topic that covers its day, or why the monitor raised none: too
+    few usable days before it, or not significant against them."""
+    i = found.select(F.col("source").alias("i_source"), F.col("topic").alias("i_topic"), "incident", "first_day", "last_day")
+    covers = (F.col("source") == F.col("i_source")) & (F.col("topic") == F.col("i_topic")) & F.col("day").between(F.col("first_day"), F.col("last_day"))
+    joined = spikes.select("source", "topic", "day").join(i, covers, "left").drop("i_source", "i_topic")
     first = joined.withColumn("place", F.row_number().over(Window.partitionBy("source", "topic", "day").orderBy(F.col("first_day").asc_nulls_last()))).where("place = 1").drop("place")
-    outcome = F.when(F.col("incident").isNotNull(), "matched").when(F.coalesce("tested", F.lit(False)), "not significant").otherwise("too little coverage")
-    told = first.join(coverage.select("source", "tested"), "source", "left")
-    return told.select("source", "topic", "day", "incident", F.date_diff("first_day", "day").alias("delay_days"), outcome.alias("outcome"))
-
-
-def fold_monitor(cells: pd.DataFrame, alpha: float = ALPHA, baseline_days: int = BASELINE_DAYS, least_days: int = LEAST_DAYS, least_count: int = LEAST_COUNT, least_lift: float = LEAST_LIFT) -> pd.DataFrame:
-    """The causal monitor over counts of (source, day, topic), day by day: one pass, as a day's threshold spans all sources."""
-    from math import exp, lgamma, log
-
-    def ln_tail(k: int, n: int, p: float) -> float:
-        terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
-        top = max(terms)
-        return min(0.0, top + log(sum(exp(t - top) for t in terms)))
-
-    by_day = defaultdict(lambda: defaultdict(dict))
-    for row in cells.itertuples():
-        by_day[row.day][row.source][row.topic] = int(row.n)
-    days_of = {s: sorted(set(g["day"])) for s, g in cells.groupby("source")}
-    history, alerted, out = defaultdict(dict), defaultdict(set), []
-    for day in sorted(by_day):
-        judged = []
-        for source, topics in by_day[day].items():
-            usable = days_of[source]
-            if day not in (usable[0], usable[-1]):
-                past = {d: t for d, t in history[source].items() if 0 < (day - d).days <= baseline_days and d not in alerted[source]}
-                if len(past) >= least_days:
-                    judged.append((source, topics, past))
-        tests = sum(len(topics) for _, topics, _ in judged)
-        for source, topics, past in judged:
-            everything, total = sum(sum(t.values()) for t in past.values()), sum(topics.values())
-            for topic, n in topics.items():
-                expected = (sum(t.get(topic, 0) for t in past.values()) + 0.5) / (everything + 1)
-                lift, ln_p = n / total / expected, ln_tail(n, total, min(expected, 1 - 1e-12))
-                alert = n >= least_count and lift >= least_lift and ln_p <= log(alpha / tests)
-                if alert:
-                    alerted[source].add(day)
-                out.append((source, topic, day, n, total, expected, lift, ln_p, tests, alert))
-        for source, topics in by_day[day].items():
-            if day != days_of[source][0]:
-                history[source][day] = topics
-    return pd.DataFrame(out, columns=["source", "topic", "day", "n", "day_reviews", "expected", "lift", "ln_p", "tests", "alert"])
-
-
-_MONITOR = "source string, topic string, day date, n long, day_reviews long, expected double, lift double, ln_p double, tests long, alert boolean"
-
-
-def monitor_backtest(obs: DataFrame, **settings) -> DataFrame:
-    """Every judged cell of the causal monitor.
-
-    Reviews are counted down to (source, day, topic) cells by Spark; their fold is one small group, because each day's
-    threshold depends on what all sources alerted before.  Its size is sources x days x topics, not reviews.
+    days = usable_days(obs).select(F.col("source").alias("u_source"), F.col("day").alias("usable"))
+    inside = (F.col("source") == F.col("u_source")) & (F.col("usable") < F.col("day")) & (F.col("usable") >= F.date_sub("day", baseline_days))
+    # one row for each spike and usable day before it: a month of days at most
+    told = first.join(days, inside, "left").groupBy("source", "topic", "day", "incident", "first_day").agg(F.count("usable").alias("earlier"))
+    earlier = F.coalesce("earlier", F.lit(0))
+    outcome = F.when(F.col("incident").isNotNull(), "matched").when(earlier < least_days, "too little coverage").otherwise("not significant")
+    return told.select("source", "topic", "day", "incident", F.date_diff("first_day", "day").alias("delay_days"), earlier.alias("earlier_days"), outcome.alias("outcome"))
+
+
+def judge_source(cells: pd.DataFrame, alpha: float, baseline_days: int, least_days: int, least_count: int, least_lift: float) -> pd.DataFrame:
+    """One source's days in order: counts (day, topic, n) with the day's number of tests over all sources, or null.
+
+    A day is judged on the usable days before it that raised no alert.  A day without a number of tests yet raises none.
+    """
+    out, history, alerted = [], {}, set()
+    days = sorted(set(cells["day"]))
+    for day, group in cells[cells["day"].isin(days[1:-1])].groupby("day", sort=True):
+        topics, tests = dict(zip(group["topic"], group["n"].astype(int), strict=True)), group["tests"].iloc[0]
+        past = [t for d, t in history.items() if (day - d).days <= baseline_days and d not in alerted]
+        history[day] = topics
+        if len(past) < least_days:
+            continue
+        everything, total = sum(sum(t.values()) for t in past), sum(topics.values())
+        for topic, n in topics.items():
+            expected = (sum(t.get(topic, 0) for t in past) + 0.5) / (everything + 1)
+            lift, ln_p = n / total / expected, _ln_tail(n, total, min(expected, 1 - 1e-12))
+            alert = bool(tests == tests and n >= least_count and lift >= least_lift and ln_p <= log(alpha / tests))
+            if alert:
+                alerted.add(day)
+            out.append((group["source"].iloc[0], topic, day, n, total, expected, lift, ln_p, len(past), tests, alert))
+    return pd.DataFrame(out, columns=["source", "topic", "day", "n", "day_reviews", "expected", "lift", "ln_p", "baseline_days", "tests", "alert"])
+
+
+def _ln_tail(k: int, n: int, p: float) -> float:
+    """ln P(X >= k) of n draws with chance p."""
+    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    top = max(terms)
+    return min(0.0, top + log(sum(exp(t - top) for t in terms)))
+
+
+_MONITOR = "source string, topic string, day date, n long, day_reviews long, expected double, lift double, ln_p double, baseline_days int, tests double, alert boolean"
+
+
+def monitor_backtest(obs: DataFrame, alpha: float = ALPHA, baseline_days: int = BASELINE_DAYS, least_days: int = LEAST_DAYS, least_count: int = LEAST_COUNT, least_lift: float = LEAST_LIFT) -> DataFrame:
+    """Every judged cell of the causal monitor: each source's days in order, all sources side by side.
+
+    Sources meet in one number alone, a day's tests over all of them, and that depends on earlier days: which sources are
+    judged, as alerted days leave their baselines.  So all days are replayed with the tests of the replay before, until no
+    day's number changes.  Day by day they come to rest, as each follows from the days before it; since alerts are rare and
+    seldom leave a source without a baseline, a few replays do.  A group is one source's counts of topics by day.
     """
-    cells = obs.groupBy("source", "day", "topic").agg(F.count("*").alias("n")).withColumn("fold", F.lit(0))
-    return cells.groupBy("fold").applyInPandas(lambda group: fold_monitor(group, **settings), _MONITOR)
+    cells = obs.groupBy("source", "day", "topic").agg(F.count("*").alias("n")).persist()
+    settings = (alpha, baseline_days, least_days, least_count, least_lift)
+    tests = None
+    while True:
+        told = cells.withColumn("tests", F.lit(None).cast("double")) if tests is None else cells.join(F.broadcast(tests), "day", "left")
+        judged = told.groupBy("source").applyInPandas(lambda group: judge_source(group, *settings), _MONITOR)
+        before, rows = tests, judged.groupBy("day").agg(F.count("*").cast("double").alias("tests")).collect()  # one row a day
+        tests = obs.sparkSession.createDataFrame([(r.day, r.tests) for r in rows], "day date, tests double")
+        if before is not None and sorted(map(tuple, before.collect())) == sorted(map(tuple, rows)):
+            return judged.withColumn("tests", F.col("tests").cast("long"))
 
 
 def backtest_summary(judged: DataFrame) -> DataFrame:
-    """tests, judged_days and alert_days of a replay."""
-    return judged.agg(F.count("*").alias("tests"), F.count_distinct("source", "day").alias("judged_days"), F.count_distinct(F.when(F.col("alert"), F.struct("source", "day"))).alias("alert_days"))
+    """tests, judged_days and alert_days of a replay: days on which any source was judged, and on which any alerted."""
+    return judged.agg(F.count("*").alias("tests"), F.count_distinct("day").alias("judged_days"), F.count_distinct(F.when(F.col("alert"), F.col("day"))).alias("alert_days"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SORTS = {
@@ -90,6 +90,11 @@ def funnel(reviews: DataFrame, enriched: DataFrame, embedded: DataFrame, transla
     return reviews.agg(F.count("*").alias("reviews"), *(F.count(n).alias(n) for n in ("enriched", "embedded", "translated")))
 
 
+def language_sources(reviews: DataFrame, enriched: DataFrame, key: str = "review_id") -> DataFrame:
+    """Enriched reviews by the evidence for their language."""
+    return enriched.join(reviews.select(key).distinct(), key, "left_semi").groupBy("language_source").agg(F.count("*").alias("reviews"))
+
+
 def latest_per(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """The last row of each group in an order, by a partial aggregate: no group is gathered."""
     last = F.max_by(F.struct(*rows.columns), F.struct(*order))
@@ -122,3 +127,64 @@ def rising(daily: DataFrame, group: str = "topic", days: int = 7, least_factor:
     whole = grouped.agg((F.sum("recent") / F.sum("size")).alias("overall"))
     out = grouped.crossJoin(F.broadcast(whole)).withColumn("factor", F.col("recent") / F.col("size") / F.col("overall"))
     return out.select(group, "size", "recent", "factor", ((F.col("factor") >= least_factor) & (F.col("size") >= least_size)).alias("rising"))
+
+
+def displayed(reviews: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Reviews as they are shown: the redacted text and resolved language once enriched, the store's own before.
+
+    Browsing filters on the language shown; search on `resolved_language` alone, which is null before enrichment.
+    """
+    e = enriched.select("review_id", "model_text", F.col("language").alias("resolved_language"))
+    return reviews.join(e, "review_id", "left").withColumns({"text": F.coalesce("model_text", "body"), "language": F.coalesce("resolved_language", "language")}).drop("model_text", "body")
+
+
+def recent_runs(runs: DataFrame, listings: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest runs of an app's listings, newest first."""
+    return runs.join(listings.select("listing_id", "store"), "listing_id").orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+
+
+def cursors_of(cursors: DataFrame, listings: DataFrame) -> DataFrame:
+    return cursors.join(listings.select("listing_id", "store"), "listing_id").orderBy("store", "partition_key")
+
+
+def topics_of(topics: DataFrame, run_id) -> DataFrame:
+    """A run's topics, largest first."""
+    return topics.where(F.col("run_id") == run_id).orderBy(F.desc("size"), "topic_id")
+
+
+def topic_in_app(topics: DataFrame, runs: DataFrame, topic_id, slug: str) -> DataFrame:
+    """A topic of an app's runs; none if it is another app's."""
+    return topics.where(F.col("topic_id") == topic_id).join(runs.where(F.col("slug") == slug).select("run_id"), "run_id", "left_semi")
+
+
+def topic_page(members: DataFrame, topic_id, limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(total, one page) of a topic's reviews, closest first."""
+    own = members.where(F.col("topic_id") == topic_id)
+    return own.agg(F.count("*").alias("total")), own.orderBy("distance", "review_id").offset(offset).limit(limit)
+
+
+def member_texts(members: DataFrame, reviews: DataFrame, enriched: DataFrame, translated: DataFrame, run_id) -> DataFrame:
+    """A run's reviews with their text and fresh translation; place is theirs in the topic, closest first."""
+    rows = members.where(F.col("run_id") == run_id).join(reviews.select("review_id", "rating"), "review_id")
+    rows = rows.join(enriched.select("review_id", "language", F.col("model_text").alias("text"), "text_hash"), "review_id")
+    rows = rows.join(translated.select("review_id", "text_hash", F.col("translated_text").alias("translation")), ["review_id", "text_hash"], "left").drop("text_hash")
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("distance", "review_id"))
+    return rows.withColumn("place", place)
+
+
+def example_texts(ids: DataFrame, enriched: DataFrame) -> DataFrame:
+    """The redacted text of enriched reviews among ids."""
+    return enriched.join(ids.select("review_id").distinct(), "review_id", "left_semi").select("review_id", F.col("model_text").alias("text"))
+
+
+def fresh_vectors(embedded: DataFrame, enriched: DataFrame, reviews: DataFrame, keys: DataFrame) -> DataFrame:
+    """Vectors of the asked (slug, store, external_id), where they are of the text as it is now."""
+    named = reviews.join(keys.select("slug", "store", "external_id").distinct(), ["slug", "store", "external_id"])
+    now = embedded.join(enriched.select("review_id", "text_hash"), ["review_id", "text_hash"])
+    return named.select("review_id", "slug", "store", "external_id").join(now.select("review_id", "embedding"), "review_id")
+
+
+def store_info(spark: SparkSession, tables: dict[str, DataFrame], version: int) -> DataFrame:
+    """What the store is: Spark's version, the layout version of the snapshot and the newest, and its tables' columns."""
+    rows = [(spark.version, int(spark.conf.get("voxmill.schema.version", str(version))), version, name, len(df.columns)) for name, df in sorted(tables.items())]
+    return spark.createDataFrame(rows, "spark string, revision int, head_revision int, table string, columns int").withColumn("current", F.col("revision") == F.col("head_revision"))

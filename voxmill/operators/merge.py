@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-MUTABLE = ("rating", "title", "body", "reply", "content_hash")
+MUTABLE = ("rating", "title", "body", "app_version", "helpful_count", "reply", "replied_at", "reviewed_at", "content_hash", "raw")
 
 
 def plan_jobs(listings: DataFrame) -> DataFrame:
@@ -37,6 +38,28 @@ def newest_in_window(feed: DataFrame, cutoffs: DataFrame, most: int, key: str =
     return placed.where(F.col("place") <= most).drop("place", "cutoff"), coverage
 
 
+def consume_pages(pages: DataFrame, cutoffs: DataFrame, most: int, key: str = "partition_key") -> tuple[DataFrame, DataFrame]:
+    """(kept reviews, coverage) of feeds read page by page, newest first: rows (key, page, position, hit_provider_limit,
+    reviewed_at, external_id).
+
+    A feed is read up to its first page with a review before the cutoff, or to the page on which `most` is passed; coverage
+    is incomplete if `most` was passed, or if a page before the last one read was the provider's last.
+    """
+    rows = pages.join(cutoffs, key).withColumn("inside", F.col("reviewed_at") >= F.col("cutoff"))
+    by_page = rows.groupBy(key, "page").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside"), F.max("hit_provider_limit").alias("limited"))
+    upto = Window.partitionBy(key).orderBy("page")  # a feed has few pages
+    by_page = by_page.withColumn("total", F.sum("n_inside").over(upto))
+    ends = by_page.groupBy(key).agg(F.min(F.when((F.col("n_inside") < F.col("n")) | (F.col("total") > most), F.col("page"))).alias("last"), F.max("page").alias("end"))
+    ends = ends.withColumn("last", F.coalesce("last", F.col("end") + 1)).drop("end")
+    seen = by_page.join(ends, key)
+    limited = F.max(F.coalesce(F.col("limited") & (F.col("page") < F.col("last")), F.lit(False)))
+    passed = F.max((F.col("page") <= F.col("last")) & (F.col("total") > most))
+    coverage = seen.groupBy(key).agg((~limited & ~passed).alias("coverage_complete"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("page", "position"))
+    kept = rows.join(ends, key).where("inside and page <= last").withColumn("place", place).where(F.col("place") <= most)
+    return kept.drop("place", "cutoff", "inside", "last"), cutoffs.select(key).join(coverage, key, "left").withColumn("coverage_complete", F.coalesce("coverage_complete", F.lit(True)))
+
+
 def advance(cursors: DataFrame, batch: DataFrame, succeeded: DataFrame, key: str = "partition_key") -> DataFrame:
     """Cursors moved on to the newest review of partitions that succeeded; never back."""
     seen = batch.join(succeeded.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max("reviewed_at").alias("newest"))
@@ -119,10 +142,21 @@ def fresh(derived: DataFrame, enriched: DataFrame, key: str = "review_id", same_
     return derived.join(now.select(*keys), keys, "left_semi")
 
 
-def pending_translations(enriched: DataFrame, translated: DataFrame, target: str, key: str = "review_id") -> DataFrame:
-    """Texts of another known language than the target's without a translation of that very text."""
+def of_model(derived: DataFrame, model: str, target: str | None = None) -> DataFrame:
+    """Derived rows of one model, and of one target language where they have one: what joins by review take."""
+    out = derived.where(F.col("model") == model)
+    return out if target is None else out.where(F.col("target_language") == target)
+
+
+def pending_translations(enriched: DataFrame, translated: DataFrame, target: str, key: str = "review_id", max_rating: int | None = None) -> DataFrame:
+    """Texts of another known language than the target's without a translation of that very text and language."""
+    if max_rating is not None:
+        enriched = enriched.where(F.col("rating") <= max_rating)
     wanted = enriched.where((F.length("model_text") > 0) & F.col("language").isNotNull() & (F.col("language") != target))
-    return wanted.join(translated.select(key, "text_hash"), [key, "text_hash"], "left_anti")
+    if "source_language" not in translated.columns:
+        return wanted.join(translated.select(key, "text_hash"), [key, "text_hash"], "left_anti")
+    done = translated.select(key, "text_hash", F.col("source_language").alias("language"))
+    return wanted.join(done, [key, "text_hash", "language"], "left_anti")
 
 
 def run_audit(changes: DataFrame, partitions: DataFrame, key: str = "partition_key") -> DataFrame:
@@ -135,3 +169,37 @@ def run_audit(changes: DataFrame, partitions: DataFrame, key: str = "partition_k
 
 def totals(audit: DataFrame) -> DataFrame:
     return audit.agg(*(F.sum(c).alias(c) for c in ("inserted", "updated", "unchanged")), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def synced(catalog: DataFrame, apps: DataFrame, listings: DataFrame, catalog_listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(apps, listings) after a catalog: new ones are added, names and external ids follow it, and what it dropped stays."""
+    names = catalog.select("slug", F.col("name").alias("new"))
+    both = apps.join(names, "slug", "full_outer").select("slug", F.coalesce("new", "name").alias("name"))
+    ids = catalog_listings.select("slug", "store", F.col("external_id").alias("new"))
+    return both, listings.join(ids, ["slug", "store"], "full_outer").select("slug", "store", F.coalesce("new", "external_id").alias("external_id"))
+
+
+def isolated(jobs: dict[str, Callable[[], int]]) -> list[tuple[str, str, int, str | None]]:
+    """(partition, status, rows, error) of each partition's job: one that fails keeps what it has written and stops no other.
+
+    A job reads, merges and writes one partition with Spark and returns its rows; the driver only calls them.
+    """
+    out = []
+    for partition, job in jobs.items():
+        try:
+            out.append((partition, "succeeded", job(), None))
+        except Exception as error:  # whatever a partition raises is its own
+            out.append((partition, "failed", 0, f"{type(error).__name__}: {error}".splitlines()[0]))
+    return out
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation that counts them, and what is told to count, as they are written."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("processed"), *(F.count_if(c).alias(k) for k, c in counts.items())), seen
+
+
+def throughput(seen: Observation, seconds: float) -> dict[str, float]:
+    """An observation's counts with rows a second, 0 where no time has passed."""
+    counts = dict(seen.get)
+    return counts | {"per_second": counts["processed"] / seconds if seconds > 0 else 0.0}

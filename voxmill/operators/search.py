@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.operators.ranks import placed
+
 POOL, RRF_K = 50, 60
 
 
@@ -56,14 +62,19 @@ def _covered(a: Column, m: Column, last: Column, start: Column, words: int) -> C
     return F.struct(last.alias("last"), F.greatest(a.before, start).alias("before"), (a.score + more).alias("score"))
 
 
-def lexical(documents: DataFrame, query: str, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lexical(documents: DataFrame, query: str, limit: int | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and score of documents that hold all required words and none excluded, best first, by cover density.
 
     A cover is a stretch that holds every required word and no shorter such stretch; it counts 1 / (1 + words in it beyond
     the required ones).  Matching is one pass with column functions; matching rows are scored by one walk over their places.
     """
     groups, excluded = parse_query(query)
-    rows = documents.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("w"))
+    # Texts without the letters of a required word need not be split; a null limit ranks them all.
+    lowered = F.lower(F.col(text_column))
+    hopeful = documents
+    for group in groups:
+        hopeful = hopeful.where(reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(p[0])) for p in group)))
+    rows = hopeful.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("w"))
     for parts in {p for g in groups if len(g) == 1 for p in g[0]}:
         rows = rows.where(F.array_contains("w", parts))
     for k, group in enumerate(groups):
@@ -78,7 +89,8 @@ def lexical(documents: DataFrame, query: str, limit: int, id_column: str = "doc_
         return F.get(F.transform(F.array(last), lambda held: _covered(a, m, held, F.array_min(held), len(groups))), 0)
 
     score = F.aggregate(F.array_sort(F.concat(*marks)), start, step, lambda a: a.score)
-    return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = rows.select("id", score.alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -95,38 +107,105 @@ def semantic(vectors: DataFrame, query: Sequence[float], limit: int, id_column:
 
 
 def fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of lists (id, rank): score, best rank; an id counts once a list, where it comes first."""
+    """Reciprocal rank fusion of lists (id, rank): score, best rank; an id counts once a list, where it comes first.
+
+    Lists of any length are numbered anew by stretches of ranks.
+    """
     if k < 1:
         raise ValueError("k is 1 at least")
     lists = None
     for r in ranked:
-        first = r.groupBy("id").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(Window.orderBy("rank")))
+        first = r.groupBy("id").agg(F.min("rank").alias("first"))
+        first = placed(first, F.floor(F.col("first") / 4096), "first", "id").select("id", "rank")
         lists = first if lists is None else lists.unionByName(first)
-    return lists.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
+    return lists.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("rank").cast("int").alias("best_rank"))
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """A retriever's list, of a limited length, with ranks from 1."""
-    return scored.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id")).alias("rank"))
+def ranked(scored: DataFrame, limit: int) -> DataFrame:
+    """A retriever's first `limit` rows with ranks from 1: few enough for one task."""
+    top = scored.orderBy(F.desc_nulls_last("score"), "id").limit(limit)
+    return top.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id")).alias("rank"))
 
 
 def hybrid(documents: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, pool: int = POOL, k: int = RRF_K, **columns: str) -> DataFrame:
     if not query.strip() or limit < 1:
         raise ValueError("a search needs a query and a limit of 1 at least")
     pool = max(limit, pool)
-    both = fuse(ranked(lexical(documents, query, pool)), ranked(semantic(vectors, query_vector, pool, **columns)), k=k)
+    both = fuse(ranked(lexical(documents, query, pool), pool), ranked(semantic(vectors, query_vector, pool, **columns), pool), k=k)
     return both.orderBy(F.desc("score"), "best_rank", "id").limit(limit)
 
 
-def nearest_examples(queries: DataFrame, examples: DataFrame, n: int) -> DataFrame:
-    """The n examples nearest to each query, most similar last.  Every query is held against every example."""
-    pairs = examples.select(F.col("id").alias("example_id"), F.col("vector").alias("v")).crossJoin(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")))
-    scored = pairs.where("query_id <> example_id").select("query_id", "example_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
+def nearest_examples(queries: DataFrame, examples: DataFrame, n: int, block: int = 4096) -> DataFrame:
+    """The n examples nearest to each query, most similar last.  Every query is held against every example.
+
+    Queries come in blocks of a bounded number, one pass over the examples each; a task returns its n best of each query.
+    A vector that is null, empty or zero is near to nothing.
+    """
+    spark, found, held = queries.sparkSession, None, []
+    schema = queries.select(F.col("id").alias("query_id"), F.col("id").alias("example_id")).schema.add("similarity", "double")
+
+    def passed(rows: list) -> DataFrame:
+        ids, x = np.array([r[0] for r in rows]), [np.asarray(r[1], np.float64) for r in rows]
+        return examples.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_nearest_of(spark.sparkContext.broadcast((ids, x)), n), schema)
+
+    for row in queries.select("id", F.col("vector").cast("array<double>")).where("vector is not null and size(vector) > 0").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            found, held = passed(held) if found is None else found.union(passed(held)), []
+    if held or found is None:
+        found = passed(held) if found is None else found.union(passed(held))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "example_id"))
-    near = scored.withColumn("place", place).where(F.col("place") <= n)
+    near = found.withColumn("place", place).where(F.col("place") <= n)
     return near.select("query_id", "example_id", "similarity", (F.count("*").over(Window.partitionBy("query_id")) - F.col("place") + 1).alias("position"))
 
 
+def _nearest_of(shared, n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            vectors = [np.asarray(v, np.float64) if v is not None and None not in v else np.zeros(0) for v in batch.column("vector").to_pylist()]
+            examples = np.array(batch.column("id").to_pylist())
+            for width in {len(q) for q in x}:
+                mine = np.array([k for k, q in enumerate(x) if len(q) == width])
+                theirs = np.array([k for k, v in enumerate(vectors) if len(v) == width], int)
+                a, b = np.stack([x[k] for k in mine]), np.stack([vectors[k] for k in theirs]) if len(theirs) else np.zeros((0, width))
+                la, lb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+                fine = lb > 0
+                theirs, b, lb = theirs[fine], b[fine], lb[fine]
+                if not len(theirs):
+                    continue
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    similarity = a @ b.T / (la[:, None] * lb)
+                similarity[(ids[mine][:, None] == examples[theirs][None, :]) | (la[:, None] == 0)] = -np.inf
+                for k, row in zip(mine.tolist(), similarity, strict=True):
+                    order = np.lexsort((examples[theirs], -row))[:n]
+                    told = [(float(row[j]), examples[theirs[j]].item()) for j in order if np.isfinite(row[j])]
+                    best[k] = sorted([*best.get(k, []), *told], key=lambda t: (-t[0], t[1]))[:n]
+        rows = [(ids[k].item(), e, s) for k, of in best.items() for s, e in of]
+        q, e, s = zip(*rows, strict=True) if rows else ([], [], [])
+        kind = pa.string() if len(ids) and ids.dtype.kind in "UO" else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(e, kind), pa.array(s, pa.float64())], ["query_id", "example_id", "similarity"])
+
+    return run
+
+
+def compare_modes(queries: list[tuple], modes: dict[str, Callable], limit: int, clock: Callable[[], float] = time.perf_counter) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """((mode, query_id, id, rank) of each query in each mode, one after the other; seconds of each mode).
+
+    modes: name -> search(query text) returning (id, score), best `limit` of which count.
+    """
+    out, seconds = None, []
+    for mode, search in modes.items():
+        began = clock()
+        for query_id, text in queries:
+            rows = ranked(search(text), limit).select(F.lit(mode).alias("mode"), F.lit(query_id).alias("query_id"), "id", "rank")
+            kept = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # `limit` rows, so that the time is the search's
+            out = kept if out is None else out.unionByName(kept)
+        seconds.append((mode, clock() - began))
+    return out, seconds
+
+
 def pool_candidates(*modes: DataFrame, depth: int = 10) -> DataFrame:
     """Every mode's first documents, once each, in order of id so that ranks stay hidden."""
     out = modes[0].where(F.col("rank") <= depth).select("query_id", "id")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from voxmill.functions.text import enough_words, keyword_label, stem
 from voxmill.operators.search import cosine
 
+# Words of app reviews that say nothing about their subject, and romanised Hindi function words.
+GENERIC = """amazing app application apps awesome bad best better didn doesn don excellent good great isn just like ll lot love make makes
+nice really super thank thanks thing things use used using ve want way far going got hi know let ok okay think wow yes aap acha achcha
+accha aur bahut bhi bohot hai hain ho hota hoti ka kar ke ki ko kuch kuchh liye maine mein mera mujhe na nahi nahin raha rahe rahi sab
+sakte se sikh sikhane sikhne yah yeh""".split()
 TOPICS, LEAST_WORDS, KEYWORDS, SUPPORT, LEAST_REVIEWS = 20, 4, 6, 2, 50
 
 
@@ -69,36 +74,53 @@ def terms(text: Column, stop_words: list[str]) -> Column:
     return F.get(F.transform(F.array(words), both), 0)
 
 
-def term_scores(members: DataFrame, stop_words: list[str] | None = None, topic: str = "topic", text: str = "text", support: int = SUPPORT) -> DataFrame:
-    """c-TF-IDF: topic, term, n and score.  tf is of a topic's counts; idf is ln(1 + mean topic total / term total)."""
-    stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-    held = members.select(F.col(topic).alias("topic"), F.explode(terms(F.col(text), stop_words)).alias("term"))
+def app_stop_words(name: str, slug: str) -> list[str]:
+    """An app's own name says nothing about what its reviews are about."""
+    return sorted({w.lower() for w in name.split()} | {slug.lower()})
+
+
+def stop_words(extra: list[str] | None = None) -> list[str]:
+    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *GENERIC, *(w.lower() for w in extra or [])})
+
+
+def term_scores(members: DataFrame, stop: list[str] | None = None, topic: str = "topic", text: str = "text", support: int = SUPPORT) -> DataFrame:
+    """c-TF-IDF: topic, term, n and score.  tf is of a topic's counts; idf is ln(1 + mean topic total / term total), where
+    the mean is over all topics, those without a term too."""
+    stop = stop_words() if stop is None else stop
+    held = members.select(F.col(topic).alias("topic"), F.explode(terms(F.col(text), stop)).alias("term"))
     counts = held.groupBy("topic", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     by_topic = counts.groupBy("topic").agg(F.sum("n").alias("topic_total"))
     by_term = counts.groupBy("term").agg(F.sum("n").alias("term_total"))
-    mean = by_topic.agg(F.avg("topic_total").alias("mean_total"))  # one row
+    many = members.agg(F.count_distinct(F.coalesce(F.col(topic).cast("string"), F.lit(""))).alias("topics"))
+    mean = by_topic.agg(F.sum("topic_total").alias("total")).crossJoin(many).select((F.col("total") / F.col("topics")).alias("mean_total"))  # one row
     joined = counts.join(by_topic, "topic").join(by_term, "term").crossJoin(F.broadcast(mean))
     score = F.col("n") / F.col("topic_total") * F.log(1 + F.col("mean_total") / F.col("term_total"))
     return joined.select("topic", "term", "n", score.alias("score"))
 
 
-def diverse_keywords(scores: DataFrame, keep: int = KEYWORDS, walk: int = 200) -> DataFrame:
+def diverse_keywords(scores: DataFrame, keep: int = KEYWORDS) -> DataFrame:
     """topic and its keywords: terms in falling score (equal ones in reverse order) whose stems are all new.
 
-    The first `walk` terms of a topic are its walk: each chosen term can block only terms that share its stems.
+    One round for each keyword: the best term that shares no stem with those chosen, by a partial aggregate.  What comes to
+    the driver is a term a topic and round.
     """
-    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), F.desc("term")))
-    first = scores.where("score > 0").withColumn("place", place).where(F.col("place") <= walk)
-    lists = first.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x.term).alias("terms"))
-    stems = lambda t: F.transform(F.split(t, " "), stem)
-    start = F.struct(F.array().cast("array<string>").alias("chosen"), F.array().cast("array<string>").alias("covered"))
-
-    def step(a: Column, t: Column) -> Column:
-        s = stems(t)
-        fine = (F.size(a.chosen) < keep) & (F.size(F.array_distinct(s)) == F.size(s)) & ~F.arrays_overlap(s, a.covered)
-        return F.when(fine, F.struct(F.concat(a.chosen, F.array(t)).alias("chosen"), F.concat(a.covered, s).alias("covered"))).otherwise(a)
-
-    return lists.select("topic", F.aggregate("terms", start, step, lambda a: a.chosen).alias("keywords"))
+    stems = F.transform(F.split("term", " "), stem)
+    left = scores.where("score > 0").withColumn("stems", stems).where(F.size(F.array_distinct("stems")) == F.size("stems")).persist()
+    chosen: dict = {}
+    for _ in range(keep):
+        now = left
+        if chosen:
+            rows = [(t, sorted({s for _, of in c for s in of}), len(c)) for t, c in chosen.items()]
+            covered = scores.sparkSession.createDataFrame(rows, f"topic {scores.schema['topic'].dataType.simpleString()}, covered array<string>, many int")
+            now = left.join(F.broadcast(covered), "topic", "left").where("covered is null or not arrays_overlap(stems, covered)")
+        best = now.groupBy("topic").agg(F.max_by(F.struct("term", "stems"), F.struct("score", "term")).alias("b")).select("topic", "b.*").collect()
+        for r in best:
+            chosen.setdefault(r.topic, []).append((r.term, r.stems))
+        if not best:
+            break
+    left.unpersist()
+    rows = [(t, [term for term, _ in c]) for t, c in chosen.items()]
+    return scores.sparkSession.createDataFrame(rows, f"topic {scores.schema['topic'].dataType.simpleString()}, keywords array<string>")
 
 
 def resolved_labels(topics: DataFrame) -> DataFrame:
@@ -115,3 +137,25 @@ def relabelled(runs: DataFrame, topics: DataFrame, labels: DataFrame) -> DataFra
     new = labels.join(runs.select("run_id"), "run_id", "left_semi").select("run_id", "topic", F.col("label").alias("_label"), F.col("keywords").alias("_keywords"))
     out = topics.join(new, ["run_id", "topic"], "left")
     return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("label", "keywords") else F.col(c) for c in topics.columns))
+
+
+def relabel(runs: DataFrame, topics: DataFrame, member_texts: DataFrame, app: str, target: str = "en", name: str = "", names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topics, runs) of an app's latest run with keywords and labels anew; membership is not touched.
+
+    member_texts: run_id, topic, text, language, translation.  Names (topic, name) are a model's, where there is one; how
+    many topics had none is noted in the run's parameters.
+    """
+    latest = runs.where(F.col("slug") == app).orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select("run_id")
+    known = member_texts.join(F.broadcast(latest), "run_id", "left_semi")
+    blank = F.coalesce(F.length(F.trim("translation")), F.lit(0)) == 0
+    english = F.when(~blank, F.col("translation")).when(F.col("language") == target, F.col("text"))
+    words_ = diverse_keywords(term_scores(known.select("topic", english.alias("text")).where("text is not null"), stop_words(app_stop_words(name, app))))
+    own = topics.join(F.broadcast(latest), "run_id", "left_semi").select("run_id", "topic").join(words_, "topic", "left")
+    own = own.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    own = own.join(names, "topic", "left") if names is not None else own.withColumn("name", F.lit(None).cast("string"))
+    labels = resolved_labels(own)
+    fallbacks = own.agg(F.count_if(F.col("name").isNull()).alias("fallbacks")) if names is not None else own.limit(1).select(F.lit(0).alias("fallbacks"))
+    noted = F.map_concat("parameters", F.create_map(F.lit("naming"), F.concat(F.lit("fallbacks="), F.col("fallbacks").cast("string"))))
+    one = latest.crossJoin(F.broadcast(fallbacks))
+    run_rows = runs.join(F.broadcast(one), "run_id", "left").withColumn("parameters", F.when(F.col("fallbacks").isNotNull(), noted).otherwise(F.col("parameters"))).drop("fallbacks")
+    return relabelled(latest, topics, labels), run_rows

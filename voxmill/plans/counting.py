@@ -122,7 +122,7 @@ def _audit(spark, d):
 
 
 def _spine(spark, d):
-    return browse.day_spine(browse.daily_counts(reviews(spark, d).where("rating <= 2 and user_id < 40")))
+    return browse.day_spine(browse.daily_counts(reviews(spark, d).where("rating <= 2")))
 
 
 def _mood(spark, d):
@@ -138,8 +138,8 @@ PLANS = {
     "browse_lowest": (lambda s, d: _browse(s, d, "lowest", languages=["de", "pt"]), _browse_sql("rating, reviewed_at desc, review_id desc", "language in ('de', 'pt')")),
     "browse_highest_page3": (lambda s, d: _browse(s, d, "highest", 40, since=datetime(2024, 1, 10)), _browse_sql("rating desc, reviewed_at desc, review_id desc", "reviewed_at >= '2024-01-10'", 40)),
     "browse_total": (lambda s, d: browse.filtered(reviews(s, d), stores=["google_play"], rating=(2, 4)).agg(F.count("*").alias("total")), REVIEWS_SQL + "select count(*) total from reviews where store = 'google_play' and rating between 2 and 4"),
-    "reviews_by_ids": (lambda s, d: browse.by_ids(reviews(s, d), table(s, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("review_id"))).select("review_id", "rating"),
-        REVIEWS_SQL + "select review_id, rating from reviews where review_id in (select o_orderkey from orders where o_orderkey % 97 = 0)"),
+    "reviews_by_ids": (lambda s, d: browse.by_ids(reviews(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("review_id"))).select("review_id", "rating"),
+        REVIEWS_SQL + "select review_id, rating from reviews where review_id in (select o_orderkey from orders)"),
     "market_summary": (lambda s, d: browse.market_summary(reviews(s, d)).withColumn("average_rating", F.round("average_rating", 6)), REVIEWS_SQL + "select store, country, count(*) reviews, round(avg(rating), 6) average_rating, min(reviewed_at) oldest, max(reviewed_at) newest from reviews group by all"),
     "rating_histogram": (lambda s, d: browse.rating_histogram(reviews(s, d)), REVIEWS_SQL + "select store, rating, count(*) reviews from reviews group by all"),
     "rating_breakdown": (lambda s, d: browse.rating_breakdown(browse.rating_histogram(reviews(s, d))).withColumns({"share": F.round("share", 8), "mean_rating": F.round("mean_rating", 8)}),
@@ -169,7 +169,7 @@ PLANS = {
     "prune_latest_k": (_prune, """with k as (select o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) place from orders) where place <= 3)
         select (select count(*) from k) runs, (select count(*) from lineitem where l_orderkey in (select o_orderkey from k)) members"""),
     "topic_day_counts": (lambda s, d: browse.daily_counts(reviews(s, d)), REVIEWS_SQL + "select topic, day, count(*) reviews from reviews group by all"),
-    "topic_day_spine": (_spine, REVIEWS_SQL + """, n as (select topic, day, count(*) reviews from reviews where rating <= 2 and user_id < 40 group by all),
+    "topic_day_spine": (_spine, REVIEWS_SQL + """, n as (select topic, day, count(*) reviews from reviews where rating <= 2 group by all),
         days as (select unnest(generate_series((select min(day) from n), (select max(day) from n), interval 1 day))::date as day) select topic, day, coalesce(reviews, 0) reviews from (select distinct topic from n) cross join days left join n using (topic, day)"""),
     "rising_topics": (lambda s, d: browse.rising(browse.daily_counts(reviews(s, d))).withColumn("factor", F.round("factor", 8)), REVIEWS_SQL + """, g as (select topic, count(*) size, count_if(day > (select max(day) from reviews) - 7) recent from reviews group by 1)
         select topic, size, recent, round(recent / size / (select sum(recent) / sum(size) from g), 8) factor, recent / size / (select sum(recent) / sum(size) from g) >= 1.5 and size >= 10 rising from g"""),

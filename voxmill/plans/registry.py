@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.plans import counting, curating, searching, surges
+from voxmill.plans import counting, curating, reading, searching, surges
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (counting, surges, searching, curating)
+_PARTS = (counting, surges, searching, curating, reading)
 
 
 def queries() -> dict[str, Query]:

@@ -56,9 +56,61 @@ def _release(spark, d):
     return _rounded(out.select("source", "topic", "incident", "top_version", "top_share", "prior_share", "release"), top_share=9, prior_share=9)
 
 
+#: The replay's rules, looser than the operator's own.
+_REPLAY = {"least_lift": 1.2, "alpha": 0.5}
+
+
+def _monitor_alerts(spark, d):
+    return A.monitor_backtest(_obs(spark, d), **_REPLAY).where("alert").select("source", "topic", "day", "n", F.round("ln_p", 9).alias("ln_p"))
+
+
 def _match(spark, d):
+    found = A.incidents(_monitor_alerts(spark, d))
+    return A.match_spikes(A.spike_cells(_obs(spark, d)).where("lift >= 1.05 and n >= 5"), found, _obs(spark, d))
+
+
+def _members(spark, d):
     alerts = _alerts(spark, d)
-    return A.match_spikes(A.spike_cells(_obs(spark, d)).where("lift >= 1.05 and n >= 5"), A.incidents(alerts), A.source_coverage(_obs(spark, d)))
+    out = A.incident_members(A.incidents(alerts), alerts, _obs(spark, d), F.col("value"))
+    return out.where("place <= 5").select("source", "topic", "incident", "place", "review_id")
+
+
+def _day_by_day() -> str:
+    """The causal monitor in SQL, a step for each day of January 2024, as a day's baselines lack the days that alerted."""
+    tail = "ln(list_sum(list_transform(range(n, total + 1), lambda i: exp(lgamma(total + 1.0) - (case when i = 0 then 0 else lgamma(i + 1.0) end) - lgamma(total - i + 1.0) + i * ln(x) + (total - i) * ln(1 - x)))))"
+    out = REVIEWS_SQL + """, obs as (select * from reviews where rating <= 3),
+m as (select source, day, topic, count(*) n from obs group by all),
+u as (select source, day, sum(n) total from m group by all),
+ends as (select source, min(day) a, max(day) b from u group by 1),
+usable as materialized (select source, day, total::bigint total from u join ends using (source) where day > a and day < b),
+a0 as (select null::varchar source, null::date as day, null::varchar topic, 0::bigint n, 0::bigint total, 0.0::double expected, 0.0::double lift, 0.0::double ln_p, 0::bigint baseline_days, 0::bigint tests, false alert where false)"""
+    for k in range(1, 31):
+        day = f"date '2024-01-{k:02d}'"
+        out += f""",
+p{k} as materialized (select source, count(*) n_days, sum(total) everything from usable where day < {day} and day >= {day} - 28
+  and (source, day) not in (select (source, day) from a{k - 1} where alert) group by 1 having count(*) >= 5),
+b{k} as (select m.source, m.topic, sum(m.n) seen from m join usable using (source, day) where m.day < {day} and m.day >= {day} - 28
+  and (m.source, m.day) not in (select (source, day) from a{k - 1} where alert) group by all),
+c{k} as (select m.source, m.day, m.topic, m.n, total, (coalesce(seen, 0) + 0.5) / (everything + 1) x, n_days from m join usable using (source, day) join p{k} using (source)
+  left join b{k} on b{k}.source = m.source and b{k}.topic = m.topic where m.day = {day}),
+t{k} as (select *, n / total / x lift, least(0.0, {tail}) ln_p, count(*) over () tests from c{k}),
+a{k} as materialized (select * from a{k - 1} union all select source, day, topic, n, total, x, lift, ln_p, n_days, tests, n >= 5 and lift >= 1.2 and ln_p <= ln(0.5 / tests) from t{k})"""
+    return out
+
+
+_MONITOR = _day_by_day()
+_MATCHED = _MONITOR + """,
+s as (select *, case when day - lag(day) over (partition by source, topic order by day) <= 2 then 0 else 1 end as new from a30 where alert),
+r as (select *, sum(new) over (partition by source, topic order by day)::bigint incident from s),
+incidents as (select source, topic, incident, min(day) first_day, max(day) last_day from r group by 1, 2, 3),
+daily as (select source, sum(total) all_reviews, count(*) n_days from usable group by 1),
+k as (select m.source, m.topic, m.day, m.n, total, all_reviews, sum(m.n) over (partition by m.source, m.topic) own from m join usable using (source, day) join daily using (source) where n_days >= 5),
+spikes as (select source, topic, day from k where n >= 5 and n / total / ((own - n + 0.5) / (all_reviews - total + 1.0)) >= 1.05),
+e as (select s.source, s.topic, s.day, count(*) earlier from spikes s join usable u on u.source = s.source and u.day < s.day and u.day >= s.day - 28 group by all)
+select s.source, s.topic, s.day, incident, (first_day - s.day)::int delay_days, coalesce(earlier, 0) earlier_days,
+  case when incident is not null then 'matched' when coalesce(earlier, 0) < 5 then 'too little coverage' else 'not significant' end as outcome
+from spikes s left join incidents i on i.source = s.source and i.topic = s.topic and s.day between first_day and last_day
+left join e on e.source = s.source and e.topic = s.topic and e.day = s.day"""
 
 
 def _samples(spark, d):
@@ -67,11 +119,11 @@ def _samples(spark, d):
 
 
 def _backtest(spark, d):
-    return _rounded(A.monitor_backtest(_obs(spark, d), least_lift=1.2, alpha=0.5), expected=9, lift=6, ln_p=6)
+    return _rounded(A.monitor_backtest(_obs(spark, d), **_REPLAY), expected=9, lift=6, ln_p=6)
 
 
 def _summary(spark, d):
-    return A.backtest_summary(A.monitor_backtest(_obs(spark, d), least_lift=1.2, alpha=0.5))
+    return A.backtest_summary(A.monitor_backtest(_obs(spark, d), **_REPLAY))
 
 
 PLANS = {
@@ -90,8 +142,11 @@ PLANS = {
           join obs o on o.source = i.source and o.day < i.first_day and o.day >= i.first_day - 7 group by all)
         select source, topic, incident, app_version top_version, round(m / whole, 9) top_share, round(prior_share, 9) prior_share, coalesce(app_version is not null and m / whole >= 0.3 and prior_share <= 0.3, false) "release"
         from one left join prior using (source, topic, incident)"""),
-    "spike_incident_match": (_match, _INCIDENTS + """select c.source, c.topic, c.day, i.incident, (i.first_day - c.day)::int delay_days, case when i.incident is null then 'not significant' else 'matched' end as outcome
-        from (select * from cells where lift >= 1.05 and n >= 5) c left join incidents i on c.source = i.source and c.topic = i.topic and c.day between first_day and last_day"""),
-    "monitor_backtest": (_backtest, None),
-    "monitor_summary": (_summary, None),
+    "spike_incident_match": (_match, _MATCHED),
+    "incident_members": (_members, _INCIDENTS + """, m as (select i.source, i.topic, i.incident, review_id, row_number() over (partition by i.source, i.topic, i.incident order by round(a.ln_p, 9), a.day, value, review_id) place
+        from incidents i join alerts a on a.source = i.source and a.topic = i.topic and a.day between first_day and last_day join obs o on o.source = a.source and o.topic = a.topic and o.day = a.day)
+        select source, topic, incident, place::int place, review_id from m where place <= 5"""),
+    "monitor_backtest": (_backtest, _MONITOR + """ select source, topic, day, n, total day_reviews, round(expected, 9) expected, round(lift, 6) lift, round(ln_p, 6) ln_p,
+        baseline_days::int baseline_days, tests, alert from a30"""),
+    "monitor_summary": (_summary, _MONITOR + " select count(*) tests, count(distinct day) judged_days, count(distinct case when alert then day end) alert_days from a30"),
 }

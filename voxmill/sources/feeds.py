@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxmill.functions.fingerprint import author_hash
 from voxmill.operators.replies import foreign_placeholders
@@ -44,12 +48,16 @@ def parse_play(records: DataFrame, language: str, local_zone: str = "UTC") -> tu
 
 
 def read_written_replies(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all *.jsonl files with their file; a placeholder that is not ours is an error that names the file."""
-    rows = spark.read.schema("app string, store string, id string, reply string").option("pathGlobFilter", "*.jsonl").json(path)
-    rows = rows.where("app is not null or reply is not null").withColumn("file", F.col("_metadata.file_path"))
-    wrong = F.array_join(foreign_placeholders(F.col("reply")), ", ")
-    checked = F.when(F.length(wrong) > 0, F.raise_error(F.concat(F.lit("unknown placeholder "), wrong, F.lit(" in "), F.col("file")))).otherwise(F.col("reply"))
-    return rows.select("app", "store", F.col("id").alias("external_id"), checked.alias("reply"), "file")
+    """Rows of all *.jsonl files with their file and line; blank lines are skipped, and a line that lacks a field, names an
+    unknown store or holds a placeholder that is not ours is an error that names both."""
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where(F.length(F.trim("value")) > 0)
+    rows = rows.withColumn("line", F.col("line") + 1).withColumn("r", F.from_json("value", "app string, store string, id string, reply string"))
+    wrong = F.array_join(foreign_placeholders(F.col("r.reply")), ", ")
+    lacking = F.col("r.app").isNull() | F.col("r.id").isNull() | F.col("r.reply").isNull() | ~F.coalesce(F.col("r.store").isin("google_play", "app_store"), F.lit(False))
+    where = F.concat(F.lit(" in "), "file", F.lit(":"), F.col("line").cast("string"))
+    checked = F.when(lacking, F.raise_error(F.concat(F.lit("invalid written reply"), where))).when(F.length(wrong) > 0, F.raise_error(F.concat(F.lit("unknown placeholder "), wrong, where))).otherwise(F.col("r.reply"))
+    return rows.select("r.app", "r.store", F.col("r.id").alias("external_id"), checked.alias("reply"), "file", "line")
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -88,3 +96,59 @@ def read_catalog(spark: SparkSession, apps: list[dict]) -> tuple[DataFrame, Data
     dims = [(a["slug"], a["name"], a.get("support_contact")) for a in apps]
     listings = [(f"{a['slug']}:{s}", a["slug"], s, x, [(m["country"], m["language"]) for m in a["markets"]]) for a in apps for s, x in a["listings"].items()]
     return spark.createDataFrame(dims, "slug string, name string, support_contact string"), spark.createDataFrame(listings, "listing_id string, slug string, store string, external_id string, markets array<struct<country string, language string>>")
+
+
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """A catalog, query set or judgment set from a YAML file, read by Spark from wherever it lies."""
+    import yaml
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value)
+
+
+class PagedFeed(DataSource):
+    """Feed pages as a data source: `spark.dataSource.register(PagedFeed)`, then format("paged_feed") with a path.
+
+    A partition key is a folder of pages 1.json, 2.json, ... newest first, each one a Spark partition.  Reading stops at a
+    page that is absent or has no review, and after `max_pages`, whose last page is marked as the provider's limit.
+    """
+
+    #: What a store's feed hands out at most.
+    MAX_PAGES = 10
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_feed"
+
+    def schema(self) -> str:
+        return "partition_key string, page int, payload string, hit_provider_limit boolean"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PageReader(self.options["path"], int(self.options.get("max_pages", self.MAX_PAGES)))
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, path: str, max_pages: int):
+        self.path, self.max_pages = path.removeprefix("file:"), max_pages
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in sorted(os.listdir(self.path)) if os.path.isdir(os.path.join(self.path, k))]
+
+    def read(self, partition: InputPartition):
+        for page in range(1, self.max_pages + 1):
+            file = os.path.join(self.path, partition.value, f"{page}.json")
+            if not os.path.exists(file):
+                return
+            with open(file, encoding="utf-8") as held:
+                payload = held.read()
+            if not _has_entries(json.loads(payload)):
+                return
+            yield partition.value, page, payload, page == self.max_pages
+
+
+def _has_entries(payload) -> bool:
+    """Whether a page of either store has a review."""
+    if isinstance(payload, list):
+        return bool(payload)
+    entries = payload.get("feed", {}).get("entry", [])
+    entries = entries if isinstance(entries, list) else [entries]
+    return any("im:rating" in e for e in entries)
