@@ -56,7 +56,8 @@ def test_token_codes_round_trip(spark, rows, tmp_path):
     assert [(r.doc_id, np.frombuffer(r.tokens, "<u4").tolist()) for r in got] == wanted
     assert [r.start for r in got] == np.cumsum([0] + [len(t) for _, t in wanted])[:-1].tolist()
     flat = [t for _, ts in wanted for t in ts]
-    assert token_codes.read_tokens(spark, f"{tmp_path}/codes", [0, 5, len(flat) - 1]) == [flat[0], flat[5], flat[-1]]
+    asked = spark.createDataFrame([(0,), (5,), (len(flat) - 1,)], "position long")
+    assert {r.position: r.token for r in token_codes.read_tokens(spark, f"{tmp_path}/codes", asked).collect()} == {k: flat[k] for k in (0, 5, len(flat) - 1)}
 
 
 def test_codes_of_wide_ids():
@@ -102,6 +103,25 @@ def test_pii(spark):
     assert pii.pseudonymise(spark.createDataFrame([], DOCS), "key").count() == 0
 
 
+def test_names_of_one_person_stay_together(spark):
+    said = [(1, "Mrs Mary Smith met Mary Smith, MRS. SMITH and Smith; Smithson stays"), (2, "Анна Иванова и Иван Иванов"), (3, "my name is Zed Ploon. Ploon")]
+    out = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(said, DOCS), "key").collect()}
+    title, given, family = re.match(r"(Mrs) (\w+) (\w+) met", out[1]).groups()
+    assert out[1] == f"Mrs {given} {family} met {given} {family}, MRS. {family.upper()} and {family}; Smithson stays" and given in pii.GIVEN["latin", "f"]
+    woman, man = re.findall(r"\w+", out[2])[1], re.findall(r"\w+", out[2])[-1]
+    assert woman == man + "а" and "Иванов" not in out[2]
+    assert re.fullmatch(r"my name is \w+ (\w+)\. \1", out[3]) and "Ploon" not in out[3] and "Zed" not in out[3]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame(said, DOCS), "")
+
+
+def test_more_addresses_than_surrogates_of_their_format(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(k, f"{a}@{b}.co") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").collect()]
+    assert len(set(out)) == 400 and not set(out) & {t for _, t in rows} and all(re.fullmatch(r"\w+@\w\.co", t) for t in out)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("from "), F.col("id").cast("string"), F.lit("@b.co")).alias("text")).where("doc_id < 10")
     out = [r.text for r in pii.pseudonymise(many.withColumn("text", F.concat(F.lit("x "), F.col("doc_id").cast("string"), F.lit("@b.co"))), "k").collect()]
@@ -184,6 +204,39 @@ def test_passage_windows_equal_brute_force():
         assert {p for s, e in wanted for p in range(s, e) if a[p] in b[:n] and b[p] in a[:n]} <= covered <= {p for s, e in wanted for p in range(s, e)}
 
 
+def test_passages_equal_brute_force_end_to_end(spark):
+    """Every passage with a run of 18 shared tokens on its diagonal, over documents with copies, edits and a common line."""
+    r, line = random.Random(21), _prose(30, 77)
+    rows = []
+    for k in range(24):
+        one = _prose(r.randrange(50, 120), 800 + k)
+        two = _edited(one, [r.choice(("change", "insert", "drop")) for _ in range(1 + k % 2)], r)
+        rows += [(3 * k, f"{_prose(40, 2000 + k)} {one} {line}"), (3 * k + 1, f"{line} {_prose(25, 2100 + k)} {two} {_prose(15, 2200 + k)}"), (3 * k + 2, f"{_prose(60, 2300 + k)} {line}")]
+    for group in (passages.GROUP, 4):
+        found = passages.repeated_passages(spark.createDataFrame(rows, DOCS), group=group).collect()
+        if group == 4:
+            assert {(x.doc_id, x.start, x.n_words) for x in found} == first
+        first = {(x.doc_id, x.start, x.n_words) for x in found}
+    sets = {d: _shingles(t) for d, t in rows}
+    names = {x: i for i, x in enumerate({x for s in sets.values() for x in s})}
+    tokens = {d: np.array([names[x] for x in s], np.uint64) for d, s in sets.items()}
+    wanted = {}
+    for a in tokens:
+        for b in tokens:
+            for diagonal in range(-len(tokens[b]) + 46, len(tokens[a]) - 45) if a < b else ():
+                low, high = max(0, diagonal), min(len(tokens[a]), len(tokens[b]) + diagonal)
+                x, y = tokens[a][low:high], tokens[b][low - diagonal : high - diagonal]
+                if np.count_nonzero(x == y) >= 18:
+                    for s, e in passages.runs(x, y):
+                        wanted.setdefault(a, set()).update(range(low + s, low + e))
+                        wanted.setdefault(b, set()).update(range(low - diagonal + s, low - diagonal + e))
+    got = {}
+    for x in found:
+        got.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.n_words - 4))
+    assert set(got) == set(wanted)
+    assert sum(len(got[d] & wanted[d]) for d in wanted) >= 0.98 * sum(map(len, wanted.values()))
+
+
 @pytest.mark.parametrize("edit", ["change", "insert", "drop"])
 def test_short_passages_with_an_edit_in_the_middle(spark, edit):
     rows = []
