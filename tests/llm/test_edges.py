@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from voxmill.llm import chat, decontaminate, embeddings, jaccard, packing, passages, pii, quality, token_codes, warc
+from voxmill.llm._graph import components
 from voxmill.llm._tokens import TextEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -139,3 +140,26 @@ def test_stages_and_the_whole_pipeline(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def _smallest_reachable(edges):
+    """Brute force: labels pass over edges until none changes."""
+    label = {v: v for e in edges for v in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("edges", [
+    [],
+    [(5, k) for k in range(6, 30)],  # a star from the outset
+    [(k, 0) for k in range(1, 20)] + [(k + 40, 60) for k in range(10)],  # the hub is not the smallest
+    [(k, k + 1) for k in range(50)],  # a chain
+    [(random.Random(k).randrange(300), random.Random(-k - 1).randrange(300)) for k in range(220)],
+])
+def test_components_equal_brute_force(spark, edges):
+    edges = [e for e in edges if e[0] != e[1]]
+    odd = [(7, 7), (None, 3), (3, None), (None, None), *edges[:2]]  # loops, null ends and repeated edges
+    out = components(spark.createDataFrame(edges + odd, "a long, b long")).collect()
+    assert len(out) == len({r.id for r in out}) and {r.id: r.component for r in out} == _smallest_reachable(edges)
