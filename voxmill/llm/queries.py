@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat, packing, token_codes, warc
+from voxmill.llm import chat, packing, ranked_search, token_codes, warc
 from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.decontaminate import find_leaks
@@ -83,8 +83,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "index")
+    ranked_search.build_index(_table(spark, sf_dir, "documents"), path)
+    return ranked_search.search(spark, path, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
+
 def _words(text: str) -> str:
     """SQL for the words of a text; none where there is no text."""
     return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -96,6 +103,11 @@ def _shingles(words: str) -> str:
     return f"case when len({words}) >= 5 then {runs} when len({words}) > 0 then [array_to_string({words}, ' ')] else [] end"
 
 
+def _terms(text: str) -> str:
+    """SQL for the runs of letters and digits of a text."""
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 ORACLE_SQL = {
     "op2_perspective_rotation": """
 with t as (select conv_id, turn, coalesce(role, 'unknown') speaker, coalesce(text, '') said from conversations),
@@ -171,4 +183,17 @@ reach as (select a, b from links union select reach.a, links.b from reach join l
 parts as (select a, min(b) part from reach group by a)
 select doc_id, n::bigint n_shingles, least(doc_id, coalesce(part, doc_id)) component_id
 from sizes left join parts on a = doc_id""",
+    "op12_ranked_search": f"""
+with d as (select row_number() over () r, doc_id, {_terms('text')} w from documents),
+i as (select row_number() over () q, item_id, {_terms('text')} w from benchmark),
+corpus as (select count(*)::bigint n_docs, sum(len(w))::bigint n_terms from d where len(w) > 0),
+lengths as (select r, doc_id, (75 + (25 * len(w) * n_docs) // n_terms)::bigint m from d, corpus where len(w) > 0),
+postings as (select r, t, count(*)::bigint tf from (select r, unnest(w) t from d) group by all),
+weights as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint weight from postings, corpus group by t, n_docs),
+asked as (select q, item_id, t, count(*)::bigint times from (select q, item_id, unnest(w) t from i) group by all),
+scored as (
+  select q, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score
+  from asked join weights using (t) join postings using (t) join lengths using (r) group by all)
+select item_id, row_number() over (partition by q order by score desc, doc_id, r)::int as rank, doc_id, score
+from scored where score > 0 qualify row_number() over (partition by q order by score desc, doc_id, r) <= 20""",
 }
