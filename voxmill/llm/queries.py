@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat, packing, ranked_search, token_codes, warc
+from voxmill.llm import chat, packing, prefix_trie, ranked_search, token_codes, warc
 from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.decontaminate import find_leaks
@@ -83,6 +83,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation opens with up to three turns of the one whose id is the multiple of 20 below."""
+    conv = F.col("conv_id")
+    _, nodes = prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), base=conv - conv % 20, lead=F.crc32(conv.cast("string")) % 4)
+    return nodes.drop("turn_id")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "index")
     ranked_search.build_index(_table(spark, sf_dir, "documents"), path)
