@@ -12,6 +12,7 @@ from voxmill.llm._store import new_path
 from voxmill.llm._tokens import VOCABULARY
 from voxmill.llm.decontaminate import find_leaks
 from voxmill.llm.embeddings import link_vectors
+from voxmill.llm.html_extract import extract
 from voxmill.llm.jaccard import link_documents
 from voxmill.llm.passages import repeated_passages
 from voxmill.llm.pii import pseudonymise
@@ -96,6 +97,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(spark, path, _table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
 
