@@ -33,6 +33,8 @@ from voxmill.llm._store import cut
 
 SHARD_BYTES = 16 << 20
 BLOCK = 4096
+#: Up to so many (query, term) pairs, some 50 bytes each, are sent to all tasks; beyond, the index is dealt by term.
+FEW_PAIRS = 500_000
 _IN_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Bytes in lower case; those that end a term are blanks.
 _PLAIN = np.where(_IN_TERM, np.arange(256), 32).astype(np.uint8)
@@ -233,15 +235,18 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, id_c
     n_docs = spark.read.parquet(f"{path}/corpus").first()[0]
     numbered = cut(queries.select(F.col(id_column).alias("given"), F.col(text_column).cast("string").alias("text")).withColumn("query", F.monotonically_increasing_id()), "queries")
     asked = cut(numbered.select("query", "text").mapInArrow(_asked, "query long, term string, times long"), "asked")
+    few = asked.count() <= FEW_PAIRS
     block = (F.col("query") - F.col("query") % BLOCK).alias("block")
     wanted = asked.groupBy(block, "term").agg(F.collect_list(F.struct("query", "times")).alias("uses"))
-    df = index.select("term", F.size("rows").alias("n")).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    words = asked.select("term").distinct()
+    df = index.select("term", F.size("rows").alias("n")).join(F.broadcast(words) if few else words, "term").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
     uses = wanted.join(df.select("term", weight.alias("weight")), "term").select("block", "term", "weight", F.col("uses.query").alias("queries"), F.col("uses.times").alias("times"))
+    uses = F.broadcast(uses) if few else uses
     none = F.array().cast("array<long>")
     # A shard's ids go to each block once.
     named = asked.select(block).distinct().select("block", F.lit(_IDS).alias("term"), F.lit(0).cast("long").alias("weight"), none.alias("queries"), none.alias("times"))
-    dealt = index.join(uses.union(named), "term").repartition("shard", "block").sortWithinPartitions("shard", "block")
+    dealt = index.join(uses, "term").union(index.where(F.col("term") == _IDS).join(named, "term")).repartition("shard", "block").sortWithinPartitions("shard", "block")
     found = dealt.mapInArrow(_rank(k), "query long, doc_id long, score long")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).where(F.col("rank") <= k)
     return best.join(numbered, "query").select(F.col("given").alias(id_column), "rank", "doc_id", "score")
