@@ -58,6 +58,14 @@ def test_merge_keeps_first_seen_and_counts(spark):
     assert new == {"a": (1, 1, 1), "b": (5, 1, 7), "c": (3, 7, 7)}
 
 
+def test_an_unchanged_review_is_only_touched(spark):
+    shape = "external_id string, rating int, helpful_count int, content_hash string"
+    stored = spark.createDataFrame([("a", 1, 10, "h1", 1, 1), ("b", 2, 10, None, 1, 1)], shape + ", first_seen_at int, last_seen_at int")
+    batch = spark.createDataFrame([("a", 1, 99, "h1", 1), ("b", 2, 99, "h2", 1), ("c", 3, 5, "x", 1), ("c", 4, 6, "y", 2)], shape + ", seq int")
+    new = merge.merged(stored, batch, ["external_id"], F.lit(7), order="seq")
+    assert {r.external_id: tuple(r)[1:] for r in new.collect()} == {"a": (1, 10, "h1", 1, 7), "b": (2, 99, "h2", 1, 7), "c": (4, 6, "y", 7, 7)}
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "id long, rank int") for ids in ([1, 2, 3], [3, 1, 4])]
     assert [r.id for r in search.fuse(*lists).orderBy(F.desc("score"), "best_rank", "id").collect()] == [1, 3, 2, 4]

@@ -80,26 +80,28 @@ def classify(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return batch.join(old, keys, "left").withColumn("change", kind).drop("old_hash")
 
 
-def merged(stored: DataFrame, batch: DataFrame, keys: list[str], seen_at: Column, mutable: tuple[str, ...] = MUTABLE) -> DataFrame:
-    """The snapshot after a batch: new rows, changed rows with new mutable columns, others touched or as they were."""
+def merged(stored: DataFrame, batch: DataFrame, keys: list[str], seen_at: Column, mutable: tuple[str, ...] = MUTABLE, order: str | None = None) -> DataFrame:
+    """The snapshot after a batch: new rows; rows of another content hash with new mutable columns; the others that came are
+    touched alone, whatever else about them differs.  Of repeated keys in the batch, the last by `order` counts, where given.
+    """
+    batch = batch if order is None else last_of_repeats(batch, keys, order)
     new = batch.select(*keys, F.struct(*[c for c in stored.columns if c in batch.columns and c not in keys]).alias("b"))
     both = stored.withColumn("_old", F.lit(True)).join(new, keys, "full_outer")
     came, old = F.col("b").isNotNull(), F.coalesce(F.col("_old"), F.lit(False))
-    in_batch = set(batch.columns)
+    changed = came & ~F.col("content_hash").eqNullSafe(F.col("b.content_hash"))
     columns = []
     for c in stored.columns:
         if c in keys:
-            columns.append(F.col(c))
+            now = F.col(c)
         elif c == "last_seen_at":
-            columns.append(F.when(came, seen_at).otherwise(F.col(c)).alias(c))
+            now = F.when(came, seen_at).otherwise(F.col(c))
         elif c == "first_seen_at":
-            columns.append(F.when(old, F.col(c)).otherwise(seen_at).alias(c))
-        elif c in mutable and c in in_batch:
-            columns.append(F.when(came, F.col(f"b.{c}")).otherwise(F.col(c)).alias(c))
-        elif c in in_batch:
-            columns.append(F.when(old, F.col(c)).otherwise(F.col(f"b.{c}")).alias(c))
+            now = F.when(old, F.col(c)).otherwise(seen_at)
+        elif c in batch.columns:
+            now = F.when(changed if c in mutable else ~old, F.col(f"b.{c}")).otherwise(F.col(c))
         else:
-            columns.append(F.col(c))
+            now = F.col(c)
+        columns.append(now.alias(c))
     return both.select(*columns)
 
 

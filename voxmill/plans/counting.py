@@ -35,12 +35,13 @@ def _funnel(spark, d):
 
 
 def _snapshots(spark, d):
-    """Orders up to 1999 as the store; from 1998 on as the batch, where every third price has changed."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("external_id"), F.lit("x").alias("listing_id"), F.col("o_custkey").alias("rating"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), "o_orderdate")
+    """Orders up to 1999 as the store; from 1998 on as the batch, where every third price has changed, and all votes, which
+    the hash leaves out."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("external_id"), F.lit("x").alias("listing_id"), F.col("o_custkey").alias("rating"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), (F.col("o_orderkey") % 100).alias("votes"), "o_orderdate")
     hashed = lambda df: df.withColumn("content_hash", F.sha2(F.concat_ws(chr(31), F.col("rating").cast("string"), F.col("price").cast("string")), 256))
     t = lambda s: F.lit(s).cast("timestamp_ntz")
     stored = hashed(o.where(F.col("o_orderdate") < t("2000-01-01"))).drop("o_orderdate").withColumns({"first_seen_at": t("2000-01-01"), "last_seen_at": t("2000-01-01")})
-    batch = o.where(F.col("o_orderdate") >= t("1998-01-01")).withColumn("price", F.when(F.col("external_id") % 3 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(18,2)"))
+    batch = o.where(F.col("o_orderdate") >= t("1998-01-01")).withColumn("price", F.when(F.col("external_id") % 3 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(18,2)")).withColumn("votes", F.col("votes") + 1)
     return stored, hashed(batch.drop("o_orderdate"))
 
 
@@ -49,8 +50,8 @@ def _merge_classify(spark, d):
 
 
 def _merge_snapshot(spark, d):
-    new = merge.merged(*_snapshots(spark, d), ["listing_id", "external_id"], F.lit("2001-01-01").cast("timestamp_ntz"), mutable=("rating", "price", "content_hash"))
-    return new.select("external_id", F.col("price").cast("double").alias("price"), F.year("first_seen_at").alias("first_seen"), F.year("last_seen_at").alias("last_seen"))
+    new = merge.merged(*_snapshots(spark, d), ["listing_id", "external_id"], F.lit("2001-01-01").cast("timestamp_ntz"), mutable=("rating", "price", "votes", "content_hash"))
+    return new.select("external_id", F.col("price").cast("double").alias("price"), "votes", F.year("first_seen_at").alias("first_seen"), F.year("last_seen_at").alias("last_seen"))
 
 
 _BATCHES = """with o as (select o_orderkey external_id, o_custkey rating, o_totalprice::decimal(18,2) price, o_orderdate from orders),
@@ -152,7 +153,7 @@ PLANS = {
     "pipeline_funnel": (_funnel, """select count(*) reviews, count(l.doc_id) enriched, count(q.doc_id) embedded, count(t.doc_id) translated from documents d left join (select distinct doc_id from labels) l using (doc_id)
         left join (select distinct doc_id from labels where quality = 1) q using (doc_id) left join (select distinct doc_id from labels where toxic = 1) t using (doc_id)"""),
     "merge_classify": (_merge_classify, _BATCHES + "select case when s.h is null then 'inserted' when s.h = b.h then 'unchanged' else 'updated' end as change, count(*) reviews from batch b left join stored s using (external_id) group by all"),
-    "merge_snapshot": (_merge_snapshot, _BATCHES + """select coalesce(s.external_id, b.external_id) external_id, coalesce(b.price, s.price)::double price, case when s.external_id is null then 2001 else 2000 end::int first_seen,
+    "merge_snapshot": (_merge_snapshot, _BATCHES + """select coalesce(s.external_id, b.external_id) external_id, coalesce(b.price, s.price)::double price, external_id % 100 + case when b.h is not null and s.h is distinct from b.h then 1 else 0 end votes, case when s.external_id is null then 2001 else 2000 end::int first_seen,
         case when b.external_id is null then 2000 else 2001 end::int last_seen from stored s full join batch b using (external_id)"""),
     "ingest_totals": (_audit, _BATCHES + """select count_if(s.h is null) inserted, count_if(s.h <> b.h) updated, count_if(s.h = b.h) unchanged, 1::bigint failed from batch b left join stored s using (external_id)"""),
     "dedupe_last": (_dedupe_last, "select external_id, max(seq) seq, max_by(l_quantity, seq) l_quantity from (select l_orderkey external_id, l_linenumber::bigint * 1000000000 + l_partkey * 100 + l_quantity::bigint seq, l_quantity from lineitem) group by 1"),
