@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions.fingerprint import source_key
 from voxmill.functions.stats import ln_binomial_tail
+from voxmill.sources.shared import settled
 
 ALPHA, LEAST_COUNT, LEAST_LIFT, LEAST_DAYS = 0.01, 5, 3.0, 5
 BASELINE_DAYS, GAP_DAYS, VERSION_DAYS, PRIOR_SHARE, RELEASE_SHARE = 28, 1, 7, 0.25, 0.5
@@ -131,58 +129,54 @@ def match_spikes(spikes: DataFrame, found: DataFrame, obs: DataFrame, baseline_d
     return told.select("source", "topic", "day", "incident", F.date_diff("first_day", "day").alias("delay_days"), earlier.alias("earlier_days"), outcome.alias("outcome"))
 
 
-def judge_source(cells: pd.DataFrame, alpha: float, baseline_days: int, least_days: int, least_count: int, least_lift: float) -> pd.DataFrame:
-    """One source's days in order: counts (day, topic, n) with the day's number of tests over all sources, or null.
+def usable_cells(obs: DataFrame) -> DataFrame:
+    """(source, topic, day, n) of the usable days of each source."""
+    cells = obs.groupBy("source", "topic", "day").agg(F.count("*").alias("n"))
+    return cells.join(usable_days(obs).select("source", "day"), ["source", "day"])
+
+
+def judged(cells: DataFrame, alerted: DataFrame, alpha: float = ALPHA, baseline_days: int = BASELINE_DAYS, least_days: int = LEAST_DAYS, least_count: int = LEAST_COUNT, least_lift: float = LEAST_LIFT) -> DataFrame:
+    """Each cell against its source's usable days in the `baseline_days` before it, without those (source, day) in `alerted`.
 
-    A day is judged on the usable days before it that raised no alert.  A day without a number of tests yet raises none.
+    Windows run over a source's days and a topic's days, not over reviews.  A day's number of tests is over all sources, a
+    row a day.
     """
-    out, history, alerted = [], {}, set()
-    days = sorted(set(cells["day"]))
-    for day, group in cells[cells["day"].isin(days[1:-1])].groupby("day", sort=True):
-        topics, tests = dict(zip(group["topic"], group["n"].astype(int), strict=True)), group["tests"].iloc[0]
-        past = [t for d, t in history.items() if (day - d).days <= baseline_days and d not in alerted]
-        history[day] = topics
-        if len(past) < least_days:
-            continue
-        everything, total = sum(sum(t.values()) for t in past), sum(topics.values())
-        for topic, n in topics.items():
-            expected = (sum(t.get(topic, 0) for t in past) + 0.5) / (everything + 1)
-            lift, ln_p = n / total / expected, _ln_tail(n, total, min(expected, 1 - 1e-12))
-            alert = bool(tests == tests and n >= least_count and lift >= least_lift and ln_p <= log(alpha / tests))
-            if alert:
-                alerted.add(day)
-            out.append((group["source"].iloc[0], topic, day, n, total, expected, lift, ln_p, len(past), tests, alert))
-    return pd.DataFrame(out, columns=["source", "topic", "day", "n", "day_reviews", "expected", "lift", "ln_p", "baseline_days", "tests", "alert"])
-
-
-def _ln_tail(k: int, n: int, p: float) -> float:
-    """ln P(X >= k) of n draws with chance p."""
-    terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
-    top = max(terms)
-    return min(0.0, top + log(sum(exp(t - top) for t in terms)))
-
-
-_MONITOR = "source string, topic string, day date, n long, day_reviews long, expected double, lift double, ln_p double, baseline_days int, tests double, alert boolean"
-
-
-def monitor_backtest(obs: DataFrame, alpha: float = ALPHA, baseline_days: int = BASELINE_DAYS, least_days: int = LEAST_DAYS, least_count: int = LEAST_COUNT, least_lift: float = LEAST_LIFT) -> DataFrame:
-    """Every judged cell of the causal monitor: each source's days in order, all sources side by side.
-
-    Sources meet in one number alone, a day's tests over all of them, and that depends on earlier days: which sources are
-    judged, as alerted days leave their baselines.  So all days are replayed with the tests of the replay before, until no
-    day's number changes.  Day by day they come to rest, as each follows from the days before it; since alerts are rare and
-    seldom leave a source without a baseline, a few replays do.  A group is one source's counts of topics by day.
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(-baseline_days, -1)
+    calm = alerted.select("source", "day", F.lit(False).alias("calm"))
+    days = cells.groupBy("source", "day").agg(F.sum("n").alias("day_reviews")).join(calm, ["source", "day"], "left").withColumn("calm", F.coalesce("calm", F.lit(True)))
+    known = {"baseline_days": F.count_if("calm").over(earlier("source")).cast("int"), "everything": F.sum(F.when(F.col("calm"), F.col("day_reviews"))).over(earlier("source"))}
+    told = cells.join(days.withColumns(known), ["source", "day"])
+    told = told.withColumn("seen", F.coalesce(F.sum(F.when(F.col("calm"), F.col("n"))).over(earlier("source", "topic")), F.lit(0)))
+    tested = told.where(F.col("baseline_days") >= least_days).withColumn("expected", (F.col("seen") + 0.5) / (F.col("everything") + 1))
+    tested = tested.withColumn("lift", F.col("n") / F.col("day_reviews") / F.col("expected")).withColumn("ln_p", ln_binomial_tail(F.col("n"), F.col("day_reviews"), F.col("expected")))
+    tested = tested.join(tested.groupBy("day").agg(F.count("*").alias("tests")), "day")
+    alert = (F.col("n") >= least_count) & (F.col("lift") >= least_lift) & (F.col("ln_p") <= F.log(F.lit(alpha) / F.col("tests")))
+    return tested.select("source", "topic", "day", "n", "day_reviews", "expected", "lift", "ln_p", "baseline_days", "tests", alert.alias("alert"))
+
+
+def replay(cells: DataFrame, before: DataFrame, since=None, **settings) -> DataFrame:
+    """The (source, day) pairs that alert from day `since` on, those of `before` included: the causal monitor's memory.
+
+    What a day raises follows from the alerts of the days before it.  So all days are judged with the alerts known, until
+    they no longer change: after each round one more day on which they hang together is right, and as alerts are rare and
+    reach no further than the baseline, few rounds do; there are never more than days.
     """
-    cells = obs.groupBy("source", "day", "topic").agg(F.count("*").alias("n")).persist()
-    settings = (alpha, baseline_days, least_days, least_count, least_lift)
-    tests = None
+    known, last = before, None
     while True:
-        told = cells.withColumn("tests", F.lit(None).cast("double")) if tests is None else cells.join(F.broadcast(tests), "day", "left")
-        judged = told.groupBy("source").applyInPandas(lambda group: judge_source(group, *settings), _MONITOR)
-        before, rows = tests, judged.groupBy("day").agg(F.count("*").cast("double").alias("tests")).collect()  # one row a day
-        tests = obs.sparkSession.createDataFrame([(r.day, r.tests) for r in rows], "day date, tests double")
-        if before is not None and sorted(map(tuple, before.collect())) == sorted(map(tuple, rows)):
-            return judged.withColumn("tests", F.col("tests").cast("long"))
+        found = judged(cells, known, **settings).where("alert")
+        found = found if since is None else found.where(F.col("day") >= since)
+        now = settled(found.select("source", "day").distinct().union(before).distinct())
+        same = now.agg(F.count("*"), F.sum(F.xxhash64("source", "day").cast("decimal(38,0)"))).first()
+        if same == last:
+            return now
+        known, last = now, same
+
+
+def monitor_backtest(obs: DataFrame, **settings) -> DataFrame:
+    """Every judged cell of the causal monitor: each day against its source's earlier days that raised no alert."""
+    cells = settled(usable_cells(obs))
+    none = obs.sparkSession.createDataFrame([], "source string, day date")
+    return judged(cells, replay(cells, none, **settings), **settings)
 
 
 def backtest_summary(judged: DataFrame) -> DataFrame:
