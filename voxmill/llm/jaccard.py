@@ -15,9 +15,9 @@ late, so that a passage that many documents share brings together only documents
 3. Each block gets its texts once and is multiplied: overlap counts accumulate by column, densely for frequent columns
    and as co-occurring row pairs for rare ones, and a pair stays if 7 * overlap >= 3 * (size + size).  Only a spanning
    forest of a block's links leaves it.  A block over the size bound is dealt into tiles; documents outside its main
-   component then visit the tiles that hold one of their prefix shingles, in slices of the same bound, which compares what
-   no link has joined so far.  So no product is larger than two bounds, however large a block, and none is of a document
-   with a tile that it can have no link in.
+   component then visit the other tiles, in slices of the same bound, which compares what no link has joined so far.  Where
+   tiles are many, they visit those alone in which a prefix shingle, by its place in the order, still allows a link.  So no
+   product is larger than two bounds, however large a block.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing.  A text under five
 words has its whole word sequence as one shingle.  Rows with a null id count their shingles and have a null component.
@@ -42,6 +42,8 @@ FREQUENT = 1 << 18
 #: A block within these is one task's product; a larger one is dealt into tiles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1536, 1_000_000
 _PIVOTS = 32
+#: In a block of up to so many tiles, what its main component lacks visits all of them; in a larger one, those it may link in.
+FEW_TILES = 8
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -90,7 +92,8 @@ def _counted(items: np.ndarray) -> np.ndarray:
 
 def _incidence(frequent) -> callable:
     """Rows (shingle, set, room, late) of each distinct set of a slice.  late 0: a counted shingle, with the set's room,
-    that is how many counted shingles it has beyond its prefix; late 1: an entry of the prefix whatever the counts are."""
+    that is how many counted shingles it has beyond its prefix, less than none if they do not fill it; late 1: an entry of
+    the prefix whatever the counts are, with its lead (see `_shared_prefixes`) in place of the room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
@@ -110,7 +113,7 @@ def _incidence(frequent) -> callable:
                 more = np.concatenate([items[~counted & ~late], items[late]])[: max(0, -room)]
                 keys += [items[counted], more]
                 prints.append(np.full(len(keys[-2]) + len(more), p[0]))
-                rooms.append(np.full(len(prints[-1]), max(0, room)))
+                rooms += [np.full(len(keys[-2]), room), -room - np.arange(len(more))]
                 lates.append(np.repeat([0, 1], [len(keys[-2]), len(more)]))
             if keys:
                 yield _entries(signed(np.concatenate(keys)), np.concatenate(prints), np.concatenate(rooms), np.concatenate(lates))
@@ -135,15 +138,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of set, count and shingle: (shingle, set) of the entries in the prefix.  Shingles of one set
-    alone come first in the order and are not among the rows; a set's last `room` rows are beyond its prefix."""
+    """From rows in order of set, count and shingle: (shingle, set, lead) of the entries in the prefix.  Shingles of one set
+    alone come first in the order and are not among the rows; a set's last `room` rows are beyond its prefix.  The lead is
+    how many places an entry is before the prefix's end: the last one has 1."""
     for batch in runs_of(batches, "of"):
         of, room, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("of", "room", "key"))
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         counts = np.diff(np.append(starts, len(of)))
         left = np.repeat(starts + counts, counts) - np.arange(len(of))
         keep = left > room
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(of[keep], pa.int64())], ["key", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(of[keep], pa.int64()), pa.array((left - room)[keep], pa.int32())], ["key", "doc", "lead"])
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,10 +276,10 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = cut(texts.where("doc is not null").mapInArrow(_incidence(frequent), "key long, of long, room int, late int"), "incidence")
     counted = rows.where("late = 0").select("key", "of", "room").repartition("key").sortWithinPartitions("key", "of")
     shared = counted.mapInArrow(_shared, "of long, room int, many int, key long")
-    entries = shared.repartition("of").sortWithinPartitions("of", "many", "key").mapInArrow(_shared_prefixes, "key long, doc long")
-    entries = entries.union(rows.where("late = 1").select("key", F.col("of").alias("doc")))
+    entries = shared.repartition("of").sortWithinPartitions("of", "many", "key").mapInArrow(_shared_prefixes, "key long, doc long, lead int")
+    entries = entries.union(rows.where("late = 1").select("key", F.col("of").alias("doc"), F.col("room").alias("lead")))
     entries = cut(entries, "entries")
-    lists = entries.repartition("key").sortWithinPartitions("key", "doc")
+    lists = entries.select("key", "doc").repartition("key").sortWithinPartitions("key", "doc")
     ties = cut(lists.mapInArrow(_tie_lists, "a long, b long").distinct(), "ties")
     drop(rows)
     blocks = components(ties, "blocks")
@@ -286,8 +290,8 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sizes = cut(sizes.select("block", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles), F.lit(1)).cast("int").alias("tiles")), "sizes")
     members = members.join(sizes, "block")
     home = members.select("block", "tiles", F.expr("cast(pmod(xxhash64(doc), tiles) as int)").alias("tile"), "doc", F.col("doc").alias("label"), F.lit(False).alias("visitor"), "n")
-    large = sizes.where("tiles > 1")
-    many = large.count() > 0
+    most = sizes.agg(F.max("tiles")).first()[0] or 1
+    many = most > 1
     rows = home
     if many:
         pivots = members.where("tiles > 1").withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("doc"), "doc"))).where(f"place <= {_PIVOTS}")
@@ -300,7 +304,10 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         by_label = labelled.groupBy("block", "label").count()
         main = by_label.groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
         open_blocks = cut(labelled.join(main.drop("labels"), "block"), "open")
-        visits = _visits(open_blocks, heads.select("s1", "doc"), entries.withColumnRenamed("doc", "s1"))
+        near = open_blocks.where(f"tiles <= {FEW_TILES} and label <> main").withColumn("to", F.explode(F.expr("sequence(0, tiles - 1)"))).where("to <> tile")
+        visits = near.select("block", "tiles", F.col("to").alias("tile"), "doc", "label", F.lit(True).alias("visitor"), "n")
+        if most > FEW_TILES:
+            visits = visits.union(_visits(open_blocks.where(f"tiles > {FEW_TILES}"), heads.select("s1", "doc"), entries.withColumnRenamed("doc", "s1")))
         slices_ = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int")
         sliced = cut(visits.groupBy("block", "tile").agg(slices_.alias("slices")), "slices")
         # A slice of a tile's visitors meets all of its residents in a tile of its own.
@@ -317,9 +324,18 @@ def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _visits(rows: DataFrame, prints: DataFrame, entries: DataFrame) -> DataFrame:
-    """Documents outside their block's main component, once for each other tile that holds one of their prefix shingles."""
-    held = entries.join(prints, "s1").join(rows, "doc").select("key", "block", "tiles", "tile", "doc", "label", "n", (F.col("label") != F.col("main")).alias("outside"))
+    """Documents outside their block's main component, once for each other tile where one of their prefix shingles can link.
+
+    Two sets that meet first in a shingle share it and what comes after it in both at most: r shingles from there on, of n,
+    allow a partner of (7r - 3n) / 3 shingles at most.  A tile is visited if its least set with the shingle is small enough
+    for the visitor, and the visitor for its most generous one.  What shares a passage, but has too much of its own to link,
+    visits nothing through it.
+    """
+    held = entries.join(prints, "s1").join(rows, "doc").withColumn("outside", F.col("label") != F.col("main"))
+    r = F.col("lead") + F.expr("(3 * n + 3) div 4 - 1")
+    held = held.withColumn("widest", F.floor((7 * r - 3 * F.col("n")) / 3)).select("key", "block", "tiles", "tile", "doc", "label", "n", "widest", "outside")
     held = cut(held.distinct(), "held")
-    to = held.select("key", "block", F.col("tile").alias("to")).distinct()
-    met = held.where("outside").join(to, ["key", "block"]).where("tile <> to")
-    return cut(met.select("block", "tiles", F.col("to").alias("tile"), "doc", "label", F.lit(True).alias("visitor"), "n").distinct(), "visits")
+    to = held.groupBy("key", "block", F.col("tile").alias("to")).agg(F.min("n").alias("least"), F.max("widest").alias("most"))
+    meet = ["key", "block"]
+    met = held.where("outside").alias("v").join(to.alias("t"), [F.col(f"v.{c}") == F.col(f"t.{c}") for c in meet] + [F.expr("tile <> to and least <= widest and n <= most")])
+    return cut(met.select("v.block", "tiles", F.col("to").alias("tile"), "doc", "label", F.lit(True).alias("visitor"), "n").distinct(), "visits")
