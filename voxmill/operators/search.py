@@ -62,6 +62,18 @@ def _covered(a: Column, m: Column, last: Column, start: Column, words: int) -> C
     return F.struct(last.alias("last"), F.greatest(a.before, start).alias("before"), (a.score + more).alias("score"))
 
 
+def cover_density(places: list[str]) -> Column:
+    """The score of covers from columns with the places of each required group."""
+    marks = [F.transform(p, _marked(k)) for k, p in enumerate(places)]
+    start = F.struct(F.array(*[F.lit(-1)] * len(places)).alias("last"), F.lit(-1).alias("before"), F.lit(0.0).alias("score"))
+
+    def step(a: Column, m: Column) -> Column:
+        last = F.transform(a.last, lambda x, g: F.when(g == m.g, m.at).otherwise(x))
+        return F.get(F.transform(F.array(last), lambda held: _covered(a, m, held, F.array_min(held), len(places))), 0)
+
+    return F.aggregate(F.array_sort(F.concat(*marks)), start, step, lambda a: a.score)
+
+
 def lexical(documents: DataFrame, query: str, limit: int | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and score of documents that hold all required words and none excluded, best first, by cover density.
 
@@ -81,14 +93,7 @@ def lexical(documents: DataFrame, query: str, limit: int | None, id_column: str
         rows = rows.withColumn(f"p{k}", F.concat(*(_places(F.col("w"), p) for p in group))).where(F.size(f"p{k}") > 0)
     for phrase in excluded:
         rows = rows.where(F.size(_places(F.col("w"), phrase)) == 0)
-    marks = [F.transform(f"p{k}", _marked(k)) for k in range(len(groups))]
-    start = F.struct(F.array(*[F.lit(-1)] * len(groups)).alias("last"), F.lit(-1).alias("before"), F.lit(0.0).alias("score"))
-
-    def step(a: Column, m: Column) -> Column:
-        last = F.transform(a.last, lambda x, g: F.when(g == m.g, m.at).otherwise(x))
-        return F.get(F.transform(F.array(last), lambda held: _covered(a, m, held, F.array_min(held), len(groups))), 0)
-
-    score = F.aggregate(F.array_sort(F.concat(*marks)), start, step, lambda a: a.score)
+    score = cover_density([f"p{k}" for k in range(len(groups))])
     scored = rows.select("id", score.alias("score"))
     return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
@@ -127,11 +132,33 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     return top.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id")).alias("rank"))
 
 
-def hybrid(documents: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, pool: int = POOL, k: int = RRF_K, **columns: str) -> DataFrame:
+def filtered_ids(reviews: DataFrame, stores: Sequence[str] = (), languages: Sequence[str] = (), min_rating: int | None = None, max_rating: int | None = None, since=None, id_column: str = "review_id") -> DataFrame:
+    """(id) of the reviews that a search may return: what every retriever is given, so that its best are the filtered best."""
+    for column, values in (("store", stores), ("language", languages)):
+        reviews = reviews.where(F.col(column).isin(list(values))) if values else reviews
+    for bound, test in ((min_rating, "rating >= {}"), (max_rating, "rating <= {}")):
+        reviews = reviews if bound is None else reviews.where(test.format(int(bound)))
+    if since is not None:
+        reviews = reviews.where(F.col("reviewed_at") >= F.lit(since))
+    return reviews.select(F.col(id_column).alias("id"))
+
+
+def hybrid(documents: DataFrame | Callable[..., DataFrame], vectors: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, pool: int = POOL, k: int = RRF_K, scope: DataFrame | None = None, model: str | None = None, **columns: str) -> DataFrame:
+    """Fused ranks of keyword and vector search.  documents: a table of texts, or search(query, limit, scope) over an index.
+
+    A scope (id) and a model hold in both retrievers, before either ranks.
+    """
     if not query.strip() or limit < 1:
         raise ValueError("a search needs a query and a limit of 1 at least")
     pool = max(limit, pool)
-    both = fuse(ranked(lexical(documents, query, pool), pool), ranked(semantic(vectors, query_vector, pool, **columns), pool), k=k)
+    names = {"id_column": "vec_id", "vector_column": "embedding"} | columns
+    if model is not None:
+        vectors = vectors.where(F.col("model") == model)
+    if scope is not None:
+        vectors = vectors.join(scope.select(F.col("id").alias(names["id_column"])), names["id_column"], "left_semi")
+        documents = documents if callable(documents) else documents.join(scope.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    words = documents(query, pool, scope) if callable(documents) else lexical(documents, query, pool)
+    both = fuse(ranked(words, pool), ranked(semantic(vectors, query_vector, pool, **names), pool), k=k)
     return both.orderBy(F.desc("score"), "best_rank", "id").limit(limit)
 
 

@@ -62,7 +62,7 @@ def _members(s):
 
 
 def _vectors(s):
-    keys = _named(s).where("rating = 1")
+    keys = _named(s).where("rating = 2")
     rows = B.fresh_vectors(M.of_model(s["embedded"], "m1"), s["enriched"], _named(s), keys)
     return rows.select("review_id", "slug", "store", "external_id", F.size("embedding").cast("long").alias("dimension"))
 
@@ -96,8 +96,10 @@ def _translations(s):
 
 
 def _markets(spark, d):
-    n = table(spark, d, "nation")
-    return n.select(F.substring(F.lower("n_name"), 1, 2).alias("country"), F.substring((F.col("n_regionkey") + 10).cast("string"), 1, 2).alias("language"), "n_nationkey")
+    """Ten countries of one language each, and three of several."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    country = F.when(k < 10, F.concat(F.char(k + 97), F.lit("x"))).otherwise(F.concat(F.char(k % 3 + 97), F.lit("y")))
+    return n.select(country.alias("country"), F.substring((F.col("n_regionkey") + 10).cast("string"), 1, 2).alias("language"), "n_nationkey")
 
 
 def _jobs(spark, d):
@@ -224,7 +226,7 @@ PLANS = {
     "example_texts": (_over(lambda s: B.example_texts(s["members"].where("run_id = 2"), s["enriched"]).select("review_id", F.md5("text").alias("digest"))),
         STAR_SQL + "select review_id, md5(model_text) digest from enriched where review_id in (select review_id from members where run_id = 2)"),
     "vectors_by_key": (_over(_vectors), STAR_SQL + f"""select review_id, slug, store, external_id, len(embedding) as dimension
-        from (select * from {_NAMED} where rating = 1) join enriched using (review_id) join embedded using (review_id, text_hash) where model = 'm1'"""),
+        from (select * from {_NAMED} where rating = 2) join enriched using (review_id) join embedded using (review_id, text_hash) where model = 'm1'"""),
     "reviews_by_key": (_over(_by_key), STAR_SQL + f"select review_id, slug app, store, external_id from {_NAMED} where rating = 2"),
     "published_replies": (_over(lambda s: R.published(_named(s).join(s["enriched"].select("review_id"), "review_id"), [r.slug for r in s["apps"].where("app_id < 5").collect()]).select("slug", "review_id")),
         STAR_SQL + f"select slug, review_id from {_NAMED} join enriched using (review_id) where reply is not null and app_id < 5"),
@@ -248,9 +250,9 @@ PLANS = {
         when e.language in ('de', 'es') and model_text <> '' then 'translate' else 'unavailable' end outcome
         from reviews r left join enriched e using (review_id) left join (select * from translated where target_language = 'en') t on t.review_id = r.review_id and t.text_hash = e.text_hash)
         select outcome, count(*) reviews, count(translated_text) texts, min(p) "first" from j group by 1"""),
-    "market_defaults": (lambda s, d: L.market_defaults(_markets(s, d)), """select country, min(l) as language from (select left(lower(n_name), 2) country, left((n_regionkey + 10)::varchar, 2) l from nation)
+    "market_defaults": (lambda s, d: L.market_defaults(_markets(s, d)), """select country, min(l) as language from (select case when n_nationkey < 10 then chr(97 + n_nationkey::int) || 'x' else chr(97 + (n_nationkey % 3)::int) || 'y' end country, left((n_regionkey + 10)::varchar, 2) l from nation)
         group by 1 having count(distinct l) = 1"""),
-    "planned_jobs": (_jobs, STAR_SQL + """, m as (select left(lower(n_name), 2) country, left((n_regionkey + 10)::varchar, 2) l from nation)
+    "planned_jobs": (_jobs, STAR_SQL + """, m as (select case when n_nationkey < 10 then chr(97 + n_nationkey::int) || 'x' else chr(97 + (n_nationkey % 3)::int) || 'y' end country, left((n_regionkey + 10)::varchar, 2) l from nation)
         select distinct listing_id, store, case store when 'app_store' then country else l end partition_key from listings, m"""),
     "cutoffs": (_over(_cutoffs), STAR_SQL + """select listing_id, partition_key, case when listing_id % 3 = 0 then timestamp '2001-08-02' - interval 30 days
         when store = 'google_play' then newest_reviewed_at - interval 336 hours else newest_reviewed_at - interval 72 hours end cutoff from cursors join listings using (listing_id)"""),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxmill.operators import search as S
+from voxmill.operators import text_index as I
 from voxmill.operators import topics as T
 from voxmill.operators.ranks import placed
-from voxmill.sources.views import table
+from voxmill.sources.shared import shared_dir
+from voxmill.sources.views import star, table
 
 QUERY = "the erly"
 #: Words left out of the scores of terms.
@@ -50,6 +54,43 @@ q as (select *, lag(word) over o before, lag(at_place) over o start from p where
 scored as (select doc_id id, sum(case when word <> before then 1.0 / (at_place - start) else 0 end)::double score from q group by 1)"""
 
 
+def _index(spark, d):
+    """Documents as a first batch, and every tenth of them with two more words as a second."""
+    path, docs = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", table(spark, d, "documents").select("doc_id", "text")
+    I.write_batch(docs, path, 0)
+    I.write_batch(docs.where("doc_id % 10 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" reindexed erly"))), path, 1)
+    return path
+
+
+def _scope(spark, d):
+    """Reviews of one store with three stars at most."""
+    s = star(spark, d)
+    return S.filtered_ids(s["reviews"].join(s["listings"].select("listing_id", "store"), "listing_id"), stores=["app_store"], max_rating=3)
+
+
+def _filtered_hybrid(spark, d):
+    path = _index(spark, d)
+    vectors = star(spark, d)["embedded"].withColumnRenamed("review_id", "vec_id")
+    return S.hybrid(lambda query, limit, scope: I.lexical(spark, path, query, limit, scope), vectors, QUERY, _query_vector(spark, d), scope=_scope(spark, d), model="m1").withColumn("score", F.round("score", 10))
+
+
+_INDEXED = "docs as (select doc_id, case when doc_id % 10 = 0 then coalesce(text, '') || ' reindexed erly' else text end as text from documents)"
+_IN_SCOPE = "doc_id % 2 = 0 and doc_id % 5 + 1 <= 3"
+
+
+def _indexed_covers(one: str, two: str) -> str:
+    return f"with {_INDEXED}, " + _covers(one, two)[5:].replace("from documents)", f"from docs where {_IN_SCOPE})")
+
+
+_FILTERED_HYBRID = _indexed_covers(*QUERY.split()) + f""",
+v as (select embedding::double[] q from embeddings where vec_id = 0),
+l as (select id, row_number() over (order by round(score, 12) desc, id) r from scored qualify r <= 50),
+s as (select vec_id id, row_number() over (order by list_cosine_similarity(embedding::double[], q) desc, vec_id) r from embeddings, v
+  where vec_id in (select doc_id from documents where {_IN_SCOPE}) qualify r <= 50),
+f as (select id, sum(1.0 / (60 + r)) score, min(r)::int best_rank from (from l union all from s) group by 1)
+select id, round(score, 10)::double score, best_rank from f order by f.score desc, best_rank, id limit 10"""
+
+
 _HYBRID = _covers(*QUERY.split()) + """,
 v as (select embedding::double[] q from embeddings where vec_id = 0),
 l as (select id, row_number() over (order by round(score, 12) desc, id) r from scored qualify r <= 50),
@@ -144,6 +185,10 @@ PLANS = {
     "lexical_two_words": (lambda s, d: _lexical(s, d, "erly nder", 20).select("id", F.round("score", 6).alias("score")), _covers("erly", "nder") + " select id, round(score, 6) score from scored order by score desc, id limit 20"),
     "rrf_lists": (_fused, _FUSED),
     "hybrid_topk": (_hybrid, _HYBRID),
+    "indexed_phrases": (lambda s, d: I.lexical(s, _index(s, d), '"the erly" or reindexed -thereor', None).select("id"), f"with {_INDEXED}," + r""" w as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' t from docs)
+        select doc_id id from w where (contains(t, ' the erly ') or contains(t, ' reindexed ')) and not contains(t, ' thereor ')"""),
+    "indexed_scores": (lambda s, d: I.lexical(s, _index(s, d), "erly nder", 20, _scope(s, d)).select("id", F.round("score", 6).alias("score")), _indexed_covers("erly", "nder") + " select id, round(score, 6) score from scored order by score desc, id limit 20"),
+    "filtered_hybrid": (_filtered_hybrid, _FILTERED_HYBRID),
     "nearest_examples": (_examples, """with p as (select a.vec_id query_id, b.vec_id example_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
         r as (select *, row_number() over (partition by query_id order by s desc, example_id) place from p) select query_id, (4 - place)::int "position", round(s, 5) similarity from r where place <= 3"""),
     "ir_metrics": (_metrics, _RANKED + """select query_id, round(ndcg, 8) ndcg, round("precision", 8) "precision", round(reciprocal_rank, 8) reciprocal_rank, round(judged, 8) judged from m where mode = 'long'"""),
