@@ -44,6 +44,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1536, 1_000_000
 _PIVOTS = 32
 #: In a block of up to so many tiles, what its main component lacks visits all of them; in a larger one, those it may link in.
 FEW_TILES = 8
+#: Up to so many members of blocks, some 50 bytes each, are sent to all tasks; beyond, texts are dealt by document first.
+FEW_MEMBERS = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -255,6 +257,8 @@ def _multiply(fresh: bool) -> callable:
 
 
 def _products(texts: DataFrame, members: DataFrame, fresh: bool) -> DataFrame:
+    """Links within tiles.  Few members, by their count, are sent to the texts, so that theirs alone are shuffled."""
+    members = F.broadcast(members) if members.count() <= FEW_MEMBERS else members
     dealt = members.join(texts, "doc").select("block", "tile", "doc", "label", "visitor", "text")
     dealt = dealt.repartition("block", "tile").sortWithinPartitions("block", "tile", "doc", "visitor")
     return dealt.mapInArrow(_multiply(fresh), "a long, b long")
