@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,21 @@ def test_nearest_examples_keep_every_query(spark):
     examples = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "id long, vector array<double>")
     out = search.nearest_examples(queries, examples, 1)
     assert out.count() == out.select("query_id").distinct().count() == 1200
+
+
+def test_nearest_examples_in_small_blocks(spark):
+    r = random.Random(6)
+    vector = lambda: r.choice([None, [], [0.0, 0.0], [1.0, None], [1.0, 2.0, 3.0]]) if r.random() < 0.2 else [float(r.randint(-2, 2)), float(r.randint(1, 3))]
+    examples = [(k % 40, vector()) for k in range(60)]
+    queries = [(k, vector()) for k in range(30)]
+    length = lambda v: sum(x * x for x in v) ** 0.5 if v and None not in v else 0.0
+    wanted = {}
+    for q, a in queries:
+        near = [(-sum(x * y for x, y in zip(a, b, strict=True)) / (length(a) * length(b)), e) for e, b in examples if e != q and length(a) and length(b) and len(a) == len(b)]
+        if near:
+            wanted[q] = [(e, round(-s, 9)) for s, e in sorted((round(s, 12), e) for s, e in near)[:4]]
+    shape = "id long, vector array<double>"
+    out = search.nearest_examples(spark.createDataFrame(queries, shape), spark.createDataFrame(examples, shape), 4, query_block=7, example_block=9).collect()
+    got = {q: [(x.example_id, round(x.similarity, 9)) for x in sorted((x for x in out if x.query_id == q), key=lambda x: -x.position)] for q in {x.query_id for x in out}}
+    assert {q: [s for _, s in v] for q, v in got.items()} == {q: [s for _, s in v] for q, v in wanted.items()}
+    assert all(x.position <= len(got[x.query_id]) for x in out)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,57 +163,60 @@ def hybrid(documents: DataFrame | Callable[..., DataFrame], vectors: DataFrame,
     return both.orderBy(F.desc("score"), "best_rank", "id").limit(limit)
 
 
-def nearest_examples(queries: DataFrame, examples: DataFrame, n: int, block: int = 4096) -> DataFrame:
+def nearest_examples(queries: DataFrame, examples: DataFrame, n: int, query_block: int = 4096, example_block: int = 16_384) -> DataFrame:
     """The n examples nearest to each query, most similar last.  Every query is held against every example.
 
-    Queries come in blocks of a bounded number, one pass over the examples each; a task returns its n best of each query.
-    A vector that is null, empty or zero is near to nothing.
+    Both sides are dealt into blocks of about a bounded number of rows, by their place and not by their id, so that repeats
+    crowd no block.  A task multiplies one block of queries with one of examples and returns its n best of each query; the
+    best of all blocks are cut before they are shuffled.  A vector that is null, empty or zero is near to nothing.
     """
-    spark, found, held = queries.sparkSession, None, []
-    schema = queries.select(F.col("id").alias("query_id"), F.col("id").alias("example_id")).schema.add("similarity", "double")
-
-    def passed(rows: list) -> DataFrame:
-        ids, x = np.array([r[0] for r in rows]), [np.asarray(r[1], np.float64) for r in rows]
-        return examples.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_nearest_of(spark.sparkContext.broadcast((ids, x)), n), schema)
-
-    for row in queries.select("id", F.col("vector").cast("array<double>")).where("vector is not null and size(vector) > 0").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            found, held = passed(held) if found is None else found.union(passed(held)), []
-    if held or found is None:
-        found = passed(held) if found is None else found.union(passed(held))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "example_id"))
-    near = found.withColumn("place", place).where(F.col("place") <= n)
+    vector = F.col("vector").cast("array<double>")
+    q = queries.select(F.col("id").alias("query_id"), vector.alias("vector")).where("size(vector) > 0")
+    e = examples.select(F.col("id").alias("example_id"), vector.alias("vector")).where("size(vector) > 0")
+    n_q, n_e = (max(1, -(-side.count() // most)) for side, most in ((q, query_block), (e, example_block)))
+    place = F.monotonically_increasing_id()
+    # Places first: after the explosion, copies of a row would have different ones.
+    q, e = q.withColumn("qb", place % n_q), e.withColumn("eb", place % n_e)
+    q = q.select("*", F.explode(F.expr(f"sequence(0L, {n_e - 1}L)")).alias("eb"))
+    e = e.select("*", F.explode(F.expr(f"sequence(0L, {n_q - 1}L)")).alias("qb"))
+    schema = q.select("query_id").schema.add("example_id", e.schema["example_id"].dataType).add("similarity", "double")
+    found = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInArrow(_nearest_of(n), schema)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "example_id"))
+    near = found.withColumn("place", best).where(F.col("place") <= n)
     return near.select("query_id", "example_id", "similarity", (F.count("*").over(Window.partitionBy("query_id")) - F.col("place") + 1).alias("position"))
 
 
-def _nearest_of(shared, n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        best: dict[int, list[tuple[float, int]]] = {}
-        for batch in batches:
-            vectors = [np.asarray(v, np.float64) if v is not None and None not in v else np.zeros(0) for v in batch.column("vector").to_pylist()]
-            examples = np.array(batch.column("id").to_pylist())
-            for width in {len(q) for q in x}:
-                mine = np.array([k for k, q in enumerate(x) if len(q) == width])
-                theirs = np.array([k for k, v in enumerate(vectors) if len(v) == width], int)
-                a, b = np.stack([x[k] for k in mine]), np.stack([vectors[k] for k in theirs]) if len(theirs) else np.zeros((0, width))
-                la, lb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-                fine = lb > 0
-                theirs, b, lb = theirs[fine], b[fine], lb[fine]
-                if not len(theirs):
-                    continue
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    similarity = a @ b.T / (la[:, None] * lb)
-                similarity[(ids[mine][:, None] == examples[theirs][None, :]) | (la[:, None] == 0)] = -np.inf
-                for k, row in zip(mine.tolist(), similarity, strict=True):
-                    order = np.lexsort((examples[theirs], -row))[:n]
-                    told = [(float(row[j]), examples[theirs[j]].item()) for j in order if np.isfinite(row[j])]
-                    best[k] = sorted([*best.get(k, []), *told], key=lambda t: (-t[0], t[1]))[:n]
-        rows = [(ids[k].item(), e, s) for k, of in best.items() for s, e in of]
-        q, e, s = zip(*rows, strict=True) if rows else ([], [], [])
-        kind = pa.string() if len(ids) and ids.dtype.kind in "UO" else pa.int64()
-        yield pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(e, kind), pa.array(s, pa.float64())], ["query_id", "example_id", "similarity"])
+def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of this width without nulls, their vectors, their lengths) of a block; vectors of length zero are left out."""
+    held = table.column("vector").combine_chunks()
+    fine = [k for k, v in enumerate(held.to_pylist()) if len(v) == width and None not in v]
+    x = np.array(held.take(pa.array(fine, pa.int64())).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+    length = np.sqrt((x * x).sum(axis=1))
+    return np.array(fine, np.int64)[length > 0], x[length > 0], length[length > 0]
+
+
+def _nearest_of(n: int) -> Callable:
+    def run(queries: pa.Table, examples: pa.Table) -> pa.Table:
+        rows, others, scores = [], [], []
+        ids = pa.compute.rank(examples.column("example_id"), "ascending", tiebreaker="dense").to_numpy()
+        codes = {v: k for k, v in enumerate(dict.fromkeys(examples.column("example_id").to_pylist()))}
+        own = np.array([codes.get(v, -1) for v in queries.column("query_id").to_pylist()], np.int64)
+        theirs = np.array([codes[v] for v in examples.column("example_id").to_pylist()], np.int64)
+        for width in {len(v) for v in queries.column("vector").to_pylist()}:
+            (mine, a, la), (at, b, lb) = _matrix(queries, width), _matrix(examples, width)
+            if not len(at):
+                continue
+            for k in range(0, len(mine), 256):
+                similarity = a[k : k + 256] @ b.T / (la[k : k + 256, None] * lb)
+                similarity[own[mine[k : k + 256], None] == theirs[at]] = -np.inf
+                for row, told in zip(mine[k : k + 256].tolist(), similarity, strict=True):
+                    hopeful = np.flatnonzero(told >= np.partition(told, len(told) - n)[len(told) - n]) if len(told) > n else np.arange(len(told))
+                    order = hopeful[np.lexsort((ids[at[hopeful]], -told[hopeful]))][:n]
+                    order = order[np.isfinite(told[order])]
+                    rows += [row] * len(order)
+                    others += at[order].tolist()
+                    scores += told[order].tolist()
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(rows, pa.int64())), "example_id": examples.column("example_id").take(pa.array(others, pa.int64())), "similarity": pa.array(scores, pa.float64())})
 
     return run
 

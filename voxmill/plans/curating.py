@@ -98,10 +98,10 @@ select generator, count(*) replies, round(avg(passed::int), 8) pass_rate, round(
 
 
 def _ngram_copies(spark, d):
-    """Documents that share a run of eight words with the benchmark: hashed runs, semi-joined."""
+    """Documents that share a run of eight words with the benchmark: hashed runs, semi-joined where the texts are read."""
     runs = table(spark, d, "documents").select("doc_id", F.explode(X.ngram_hashes(F.col("text"), 8)).alias("run"))
     known = table(spark, d, "benchmark").select(F.explode(X.ngram_hashes(F.col("text"), 8)).alias("run")).distinct()
-    return runs.join(known, "run", "left_semi").groupBy("doc_id").agg(F.count("*").alias("runs"))
+    return X.kept_by_few(runs, known, "run").groupBy("doc_id").agg(F.count("*").alias("runs"))
 
 
 def _grams(name: str, key: str) -> str:
