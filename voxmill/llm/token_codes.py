@@ -163,23 +163,28 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("part", "before", "doc_ids", "ends", "codes").mapInArrow(_read_documents(_bases(files)), "doc_id long, start long, n_tokens long, tokens binary")
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [Codes(code.as_py())[within] for code, within in zip(batch.column("codes"), batch.column("within").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(found, pa.int64())], ["position", "token"])
+def _looked_up(asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """All positions asked of one segment, from one copy of its codes."""
+    codes = Codes(segment.column("codes")[0].as_py())
+    found = [int(codes[within]) for within in asked.column("within").to_pylist()]
+    return pa.table({"position": asked.column("position"), "token": pa.array(found, pa.int64())})
 
 
 def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """position and token for a table of positions in the whole corpus, each id read straight from its segment.
 
-    One range join: segments lie in buckets of positions, so that a position meets those of its own bucket alone.
+    Positions meet a narrow directory of segments first, bucket by bucket of positions; codes are read for the segments
+    that were asked for alone, and each goes to one task with all that is asked of it.
     """
     files = spark.read.schema(_SEGMENT).parquet(path)
     bases = spark.createDataFrame(list(_bases(files).items()), "part int, base long")
     bucket = 1 << 20
-    segments = files.join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("before"))
-    segments = segments.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("first") + F.col("tokens") - 1) / bucket))))
+    directory = files.select("part", "segment", "before", "tokens").join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("before"))
+    directory = directory.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("first") + F.col("tokens") - 1) / bucket))))
     asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("bucket", F.floor(F.col("position") / bucket))
-    inside = (asked.bucket == segments.bucket) & asked.position.between(F.col("first"), F.col("first") + F.col("tokens") - 1)
-    met = asked.join(segments, inside).select("position", (F.col("position") - F.col("first")).alias("within"), "codes")
-    return met.mapInArrow(_looked_up, "position long, token long")
+    inside = (asked.bucket == directory.bucket) & asked.position.between(F.col("first"), F.col("first") + F.col("tokens") - 1)
+    met = asked.join(directory, inside).select("part", "segment", "position", (F.col("position") - F.col("first")).alias("within"))
+    wanted = met.select(F.col("part").alias("p"), F.col("segment").alias("s")).distinct()
+    held = spark.read.schema(_SEGMENT).parquet(path).select("part", "segment", "codes").join(wanted, (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s")), "left_semi")
+    held = held.select(F.col("part").alias("p"), F.col("segment").alias("s"), "codes")
+    return met.groupBy("part", "segment").cogroup(held.groupBy("p", "s")).applyInArrow(_looked_up, "position long, token long")
