@@ -146,6 +146,23 @@ def _embedded(spark, d):
     return made.select("doc_id", "model", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+def _completions(spark, d):
+    """What a model might answer, asked for a name: the start of each document, some with a label, in quotes or with a dot."""
+    k, said = F.col("doc_id"), F.substring(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("ss")), 1, 45)
+    told = F.when(k % 4 == 0, F.concat(F.lit('\n Topic name - "'), said, F.lit('"'))).when(k % 4 == 1, F.concat(F.lit("LABEL: "), said, F.lit("!."))).when(k % 4 == 2, F.concat(F.lit("other: "), said)).otherwise(said)
+    return table(spark, d, "documents").select("doc_id", X.clean_topic_name(told).alias("name"))
+
+
+_NAMES = r"""with c as (select doc_id, left(replace(coalesce(text, ''), 'ß', 'ss'), 45) said from documents),
+t as (select doc_id, case doc_id % 4 when 0 then chr(10) || ' Topic name - "' || said || '"' when 1 then 'LABEL: ' || said || '!.' when 2 then 'other: ' || said else said end told from c),
+l as (select doc_id, trim(list_filter(regexp_split_to_array(told, '\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]'), lambda x: length(trim(x)) > 0)[1]) line from t),
+h as (select *, regexp_split_to_array(line, '[:\-–]')[1] head from l),
+b as (select doc_id, case when lower(trim(regexp_replace(head, '\s+', ' ', 'g'))) in ('topic name', 'label', 'name', 'topic', 'title') and length(head) < length(line) then ltrim(substr(line, length(head) + 2)) else line end bare from h),
+w as (select doc_id, trim(rtrim(trim(trim(trim(bare), '"''`*#“”‘’')), '.!')) x from b)
+select doc_id, case when len(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')) between 2 and 7 and length(x) <= 60 and not regexp_matches(x, '[\[\]{}<>]')
+  and len(list_filter(regexp_extract_all(x, '\p{L}'), lambda c: unicode(c) > 591)) = 0 then upper(left(x, 1)) || substr(x, 2) end as name from w"""
+
+
 PLANS = {
     "has_words": (lambda s, d: table(s, d, "documents").groupBy(X.has_words(F.col("text")).alias("has_words")).agg(F.count("*").alias("documents")), r"select coalesce(regexp_matches(text, '[\p{L}\p{N}]'), false) has_words, count(*) documents from documents group by 1"),
     "compose_text": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.compose(F.col("source"), F.col("text"))).alias("digest")), r"""select doc_id, md5(concat_ws(chr(10), case when regexp_matches(source, '[\p{L}\p{N}]') then trim(regexp_replace(source, '\s+', ' ', 'g')) end, case when regexp_matches(text, '[\p{L}\p{N}]') then trim(regexp_replace(text, '\s+', ' ', 'g')) end)) digest from documents"""),
@@ -172,6 +189,7 @@ PLANS = {
     "training_pairs": (_pairs_for_training, _PAIRS + """c as (select *, unnest(range(1, case when conv_id % 2 = 0 then 4 else 2 end)) as copy from p)
         select conv_id || ':' || turn as key, copy::int as copy, 2::int turns, length('Store: Google Play' || chr(10) || 'Rating: 3/5' || chr(10) || 'Language: unknown' || chr(10) || chr(10) || 'Review:' || chr(10)
         || case when length(review) <= 1500 then review else rtrim(left(review, 1499)) || '…' end || chr(10) || chr(10) || 'Write the developer reply.')::int chars, length(reply)::int reply_chars from c"""),
+    "topic_names": (_completions, _NAMES),
     "clean_replies": (lambda s, d: pairs(s, d).select("conv_id", "turn", R.clean_reply(F.col("reply")).alias("cleaned")), _PAIRS + _CLEANED + " select conv_id, turn, cleaned from k"),
     "embed_documents": (_embedded, None),
 }
