@@ -1,8 +1,10 @@
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from voxmill.functions import fingerprint, language, stats, text
+from voxmill.sources import views
 
 
 def _one(spark, column):
@@ -71,3 +73,17 @@ def test_language_ladder(spark):
     assert told(long, "en", 0.6, "de", None) == ("de", "store_hint")
     assert told("short", "en", 0.99, None, "pt") == ("pt", "market_default")
     assert told("short", "en", 0.99, None, None) == (None, "unknown")
+
+
+def test_upper_case_keeps_the_number_of_signs(spark):
+    texts = ["Straße, ß\nmaß", "ŉ ǰ ΐ ﬁ", "éß𐐨ı", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.upper_signs(F.col("t"))).collect()
+    c = duckdb.connect()
+    assert [r[0] for r in rows] == [c.execute("select upper(?)", [t]).fetchone()[0] for t in texts]
+    assert rows[0][0] == "STRAẞE, ẞ\nMAẞ"
+
+
+def test_translations_of_the_view_are_in_capitals_as_in_sql(spark, monkeypatch):
+    read = views.table
+    monkeypatch.setattr(views, "table", lambda *at: read(*at).withColumn("text", F.lit("Maß")) if at[2] == "documents" else read(*at))
+    assert {r[0] for r in views.star(spark, "/root/testdata/sf0.001")["translated"].select("translated_text").collect()} == {"MAẞ"}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions.fingerprint import source_key
+from voxmill.functions.text import upper_signs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     embedded = e.select(k.alias("review_id"), F.when(k % 2 == 0, "m1").otherwise("m2").alias("model"), F.when(k % 7 == 0, "old").otherwise(F.col("now")).alias("text_hash"), "embedding")
     translated = d.where("doc_id % 3 = 1").select(
         k.alias("review_id"), F.lit("t1").alias("model"), F.when(k % 2 == 0, "en").otherwise("de").alias("target_language"), F.col("lang").alias("source_language"),
-        F.when(k % 11 == 0, "old").otherwise(digest).alias("text_hash"), F.upper(F.left("said", F.lit(40))).alias("translated_text"),
+        F.when(k % 11 == 0, "old").otherwise(digest).alias("text_hash"), upper_signs(F.left("said", F.lit(40))).alias("translated_text"),
     )
     members = d.select((k % 25).alias("run_id"), k.alias("review_id"), (k % 25 * 10 + F.floor(k / 25) % 10).alias("topic_id"), (k * 7919 % 1000 / 1000.0).alias("distance"))
     runs = n.select(F.col("app_id").cast("long").alias("run_id"), "slug", F.date_add(F.lit("2024-01-01").cast("date"), F.col("app_id").cast("int")).alias("created_at"))
