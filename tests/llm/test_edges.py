@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -163,3 +164,15 @@ def test_components_equal_brute_force(spark, edges):
     odd = [(7, 7), (None, 3), (3, None), (None, None), *edges[:2]]  # loops, null ends and repeated edges
     out = components(spark.createDataFrame(edges + odd, "a long, b long")).collect()
     assert len(out) == len({r.id for r in out}) and {r.id: r.component for r in out} == _smallest_reachable(edges)
+
+
+def test_encoder_remembers_runs_not_pieces():
+    texts = ["Word, word. word! (word) word12 x×y a÷b İstanbul don't 'tis <|x|> ÄRGER, ärger²", None, "", "<", "|x '", "word́ été\x00été, ǆ ½ ß ſ"]
+    made = TextEncoder(VOCABULARY)
+    ids, bounds = made.encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == made.library.encode(text or "", add_special_tokens=False).ids
+    marked = pa.array([" ".join(f"plain{a}{b}" for a in "!?.,;" for b in "()[]:")])
+    before = len(made.known)
+    made.encode(marked)
+    assert len(made.known) - before == 26

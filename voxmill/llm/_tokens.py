@@ -1,10 +1,12 @@
-"""Token ids of whole texts through the `tokenizers` library, with every distinct piece of text encoded once.
+"""Token ids of whole texts through the `tokenizers` library, with every distinct run of signs encoded once.
 
 The vocabulary used here (README.md of /opt/tokenizers) drops white space before it looks at anything else, so the ids
 of a text are the ids of its pieces between ASCII white space, one after the other; and a piece is its runs of letters,
 single digits and runs of other marks, control characters among them, each encoded by the library's BPE model alone.
-Natural text repeats both, so a worker keeps the ids of pieces and runs it has met (two bounded memories, emptied when
-full) and asks the library only for new ones.  Pieces with signs beyond the Latin blocks go to the library as they are.
+Natural text repeats runs more than pieces, so texts are split into runs on their bytes, and a worker keeps the ids of runs
+it has met (one bounded memory, emptied when full) and asks the library only for new ones.  Pieces with a quote, or with
+signs that the bytes do not tell apart, are kept whole; those with signs beyond the Latin blocks go to the library as they
+are.
 `tests/llm/test_llm_operators.py` holds this against the library's own encoding of whole texts.
 """
 
@@ -13,12 +15,14 @@ from __future__ import annotations
 import functools
 import unicodedata
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
+from voxmill.llm._shingles import text_bytes
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 # Fixed value: the runs that the vocabulary file's own splitting rule names.  White space is ASCII white space alone here.
@@ -28,6 +32,18 @@ _LATIN = regex.compile(r"[\x21-\x7e¡-¬®-ɏ]*")
 _PLAIN = np.array([*range(256)], np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[9:14] = 32
+# Kinds of bytes; those of U+00C0 to U+024F are letters.  Pieces with other signs beyond ASCII, with a quote (as in 's) or
+# with what may be a special token are taken whole.
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_KINDS = np.full(256, _MARK, np.uint8)
+_KINDS[32] = _SPACE
+_KINDS[48:58] = _DIGIT
+_KINDS[[*range(97, 123), *range(128, 256)]] = _LETTER
+_HARD = np.zeros(256, bool)
+_HARD[[0x27, 0xC2, *range(0xCA, 256)]] = True
+# The signs × and ÷ are no letters, and İ is two signs in lower case.
+_HARD_PAIRS = np.zeros(1 << 16, bool)
+_HARD_PAIRS[[0xC397, 0xC3B7, 0xC4B0, 0x3C7C]] = True
 
 
 def _byte_signs() -> dict[int, str]:
@@ -40,80 +56,95 @@ def _byte_signs() -> dict[int, str]:
 class TextEncoder:
     """Encodes Arrow string arrays; nulls and empty texts have no ids."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.signs = _byte_signs()
         self.capacity = capacity
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.runs: dict[str, array] = {}
         self.pool = np.zeros(1 << 16, np.uint16)
-        self.ends = np.zeros(1 << 14, np.int64)  # where in pool the ids of the k-th known piece end
+        self.ends = np.zeros(1 << 14, np.int64)  # where in pool the ids of the k-th known run end
         self.used = 0
 
-    def _add_runs(self, runs: set[str]) -> None:
-        for run in runs:
-            written = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.signs)
-            self.runs[run] = array("H", [t.id for t in self.model.tokenize(written)])
-
-    def _learn(self, pieces: list[str]) -> None:
-        count = len(self.known)
-        flat, ends = array("H"), []
-        odd = {p for p in pieces if not p.isascii() and not (_LATIN.fullmatch(p) and unicodedata.is_normalized("NFC", p)) or "<|" in p}
-        shown = _RUNS.findall("\n".join("" if p in odd else p for p in pieces).lower()) if odd else _RUNS.findall("\n".join(pieces).lower())
-        self._add_runs(set(shown) - self.runs.keys() - {"\n"})
-        runs = self.runs
-        for run in shown:
-            if run == "\n":
-                ends.append(len(flat))
-            else:
-                flat += runs[run]
-        ends.append(len(flat))
-        ids, ends = np.frombuffer(flat, np.uint16), np.array(ends, np.int64)
-        if odd:
-            lists = [self.library.encode(p, add_special_tokens=False).ids if p in odd else ids[a:b] for p, a, b in zip(pieces, [0, *ends[:-1]], ends, strict=True)]
-            ids, ends = np.concatenate(lists).astype(np.uint16), np.cumsum([len(x) for x in lists])
+    def _run(self, run: str) -> list[int]:
+        written = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.model.tokenize(written)]
+
+    def _piece(self, piece: str) -> list[int]:
+        if not piece.isascii() and not (_LATIN.fullmatch(piece) and unicodedata.is_normalized("NFC", piece)) or "<|" in piece:
+            return self.library.encode(piece, add_special_tokens=False).ids
+        return [i for run in _RUNS.findall(piece.lower()) for i in self._run(run)]
+
+    def _learn(self, runs: list[str], whole: list[bool]) -> None:
+        count, flat, ends = len(self.known), array("H"), []
+        for run, piece in zip(runs, whole, strict=True):
+            flat.extend(self._piece(run) if piece else self._run(run.lower()))
+            ends.append(len(flat))
         # Ids of this vocabulary fit into two bytes.
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint16)])
-        if count + len(pieces) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(pieces), len(self.ends)), np.int64)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.ends[count : count + len(pieces)] = self.used + ends
-        self.known.update(zip(pieces, range(count, count + len(pieces)), strict=True))
-        self.used += len(ids)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.uint16)])
+        if count + len(runs) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(runs), len(self.ends)), np.int64)])
+        self.pool[self.used : self.used + len(flat)] = np.frombuffer(flat, np.uint16)
+        self.ends[count : count + len(runs)] = self.used + np.array(ends, np.int64)
+        self.known.update(zip(runs, range(count, count + len(runs)), strict=True))
+        self.used += len(flat)
+
+    @staticmethod
+    def _split(signs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, whole, inside): where runs start, which of them are whole pieces, and which bytes are in one."""
+        kind = _KINDS[signs]
+        inside = kind != _SPACE
+        edge = np.zeros(len(signs), bool)
+        edge[offsets[:-1][offsets[:-1] < len(signs)]] = True
+        edge[1:] |= ~inside[:-1]
+        pieces = np.flatnonzero(edge & inside)
+        if not len(pieces):
+            return pieces, np.zeros(0, bool), inside
+        hard = _HARD[signs]
+        hard[1:] |= _HARD_PAIRS[signs[:-1].astype(np.uint16) << 8 | signs[1:]]
+        whole = np.logical_or.reduceat(hard, pieces)
+        starts = kind == _DIGIT
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts &= inside
+        # Of pieces with signs that need the library or the rule itself, nothing but the start counts.
+        odd = np.flatnonzero(whole)
+        if len(odd):
+            bounds = np.append(pieces, len(signs))
+            length = bounds[odd + 1] - bounds[odd]
+            starts[np.repeat(bounds[odd] - (np.cumsum(length) - length), length) + np.arange(length.sum())] = False
+        starts[pieces] = True
+        starts = np.flatnonzero(starts)
+        return starts, whole[np.searchsorted(pieces, starts, "right") - 1], inside
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        plain = pa.py_buffer(_PLAIN[signs]), pa.py_buffer(offsets - offsets[0])
-        parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), plain[1], plain[0]), " ")
-        words = parts.flatten().dictionary_encode()
+        signs, offsets = text_bytes(texts)
+        signs = _PLAIN[signs]
+        starts, whole, inside = self._split(signs, offsets)
+        # Runs follow each other without the white space between them.
+        before = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
+        packed = pa.py_buffer(np.append(before[starts], before[-1])), pa.py_buffer(signs[inside])
+        runs = pa.LargeStringArray.from_buffers(len(starts), *packed).dictionary_encode()
         if len(self.known) > self.capacity:
             self.known, self.used = {}, 0
-        if len(self.runs) > 2 * self.capacity:
-            self.runs = {}
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        which, distinct = runs.indices.to_numpy(zero_copy_only=False), runs.dictionary.to_pylist()
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            pieces = np.zeros(len(distinct), bool)
+            pieces[which] = whole
+            at[new] = len(self.known) + np.arange(len(new))
+            self._learn([distinct[k] for k in new.tolist()], pieces[new].tolist())
         begins = np.where(at > 0, self.ends[at - 1], 0)
         lengths = self.ends[at] - begins
-        which = words.indices.to_numpy(zero_copy_only=False)
         counts = lengths[which]
         after = np.cumsum(counts)
         total = int(after[-1]) if len(after) else 0
         ids = self.pool[np.repeat(begins[which] - (after - counts), counts) + np.arange(total)]
-        bounds = np.concatenate([[0], after])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-        return ids, bounds
+        return ids, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
 
 @functools.cache
