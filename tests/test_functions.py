@@ -87,3 +87,13 @@ def test_translations_of_the_view_are_in_capitals_as_in_sql(spark, monkeypatch):
     read = views.table
     monkeypatch.setattr(views, "table", lambda *at: read(*at).withColumn("text", F.lit("Maß")) if at[2] == "documents" else read(*at))
     assert {r[0] for r in views.star(spark, "/root/testdata/sf0.001")["translated"].select("translated_text").collect()} == {"MAẞ"}
+
+
+def test_embedder_gets_a_bounded_number_of_texts(spark):
+    class Counting(language.HashingEmbedder):
+        def embed(self, texts, prefix=language.HashingEmbedder.DOCUMENT):
+            return [[float(len(texts))] * 2 for _ in texts]
+
+    rows = language.embedded(spark.range(1000, numPartitions=1).select(F.lit("Some words").alias("text")), Counting())
+    assert rows.agg(F.max(F.get("embedding", 0))).first()[0] <= 256
+    assert rows.count() == 1000

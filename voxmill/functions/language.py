@@ -126,13 +126,10 @@ class HashingEmbedder:
 
     def embed(self, texts: pd.Series, prefix: str = DOCUMENT) -> list[list[float]]:
         """The prefix is a word like others here; a model tells documents and queries apart by it."""
-        places: dict[str, int] = {}
         out = np.zeros((len(texts), self.dimension))
-        for k, text in enumerate((prefix + texts.fillna("")).str.lower().str.split()):
-            for word in text:
-                if word not in places:
-                    places[word] = zlib.crc32(word.encode()) % self.dimension
-            np.add.at(out[k], [places[w] for w in text], 1.0)
+        for k, text in enumerate(texts):
+            words = (prefix + ("" if pd.isna(text) else text)).lower().split()
+            out[k] = np.bincount([zlib.crc32(word.encode()) % self.dimension for word in words], minlength=self.dimension)
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(length > 0, length, 1)).tolist()
 
@@ -140,11 +137,19 @@ class HashingEmbedder:
         return self.embed(pd.Series([text]), self.QUERY)[0]
 
 
+#: Texts that an embedder gets at once: what it holds beside them does not grow with Spark's batches.
+_AT_ONCE = 256
+
+
+def in_parts(embedder: Embedder, batch: pd.Series) -> list[list[float]]:
+    return [v for k in range(0, len(batch), _AT_ONCE) for v in embedder.embed(batch.iloc[k : k + _AT_ONCE])]
+
+
 def embedded(texts: DataFrame, embedder: Embedder, text_column: str = "text") -> DataFrame:
-    """texts with the embedder's vectors, in Arrow batches."""
+    """texts with the embedder's vectors, in Arrow batches, of which the embedder gets a bounded number of texts at once."""
 
     @F.pandas_udf("array<float>")
     def vector(batch: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed(batch))
+        return pd.Series(in_parts(embedder, batch))
 
     return texts.withColumn("embedding", vector(text_column)).withColumn("model", F.lit(embedder.model_name))
