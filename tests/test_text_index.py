@@ -61,3 +61,10 @@ def test_filters_hold_before_ranking(spark):
     out = search.hybrid(docs, vectors, "slow", [1.0, 0.0], limit=30, scope=scope, model="m1").collect()
     # Vectors of the other model rank nowhere, but their texts do.
     assert sorted(r.id for r in out) == list(range(1, 30, 2)) and next(r for r in out if r.id == 29).score == pytest.approx(1 / (60 + 15))
+
+
+def test_postings_are_made_and_sorted_without_comparing_texts(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "a")], "doc_id long, text string")
+    text_index.write_batch(texts, str(tmp_path), 0)
+    rows = spark.read.parquet(f"{tmp_path}/postings").select("term", "id", "places").collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, [1]), ("a", 4, [0]), ("b", 1, [0, 2])]
