@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions.text import enough_words, keyword_label, stem
 from voxmill.operators.search import cosine
+from voxmill.sources.shared import settled
 
 # Words of app reviews that say nothing about their subject, and romanised Hindi function words.
 GENERIC = """amazing app application apps awesome bad best better didn doesn don excellent good great isn just like ll lot love make makes
@@ -88,12 +89,14 @@ def term_scores(members: DataFrame, stop: list[str] | None = None, topic: str =
     the mean is over all topics, those without a term too."""
     stop = stop_words() if stop is None else stop
     held = members.select(F.col(topic).alias("topic"), F.explode(terms(F.col(text), stop)).alias("term"))
-    counts = held.groupBy("topic", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    # Most terms are rare: where they are sorted, a number tells them apart, and they are counted once for all that follows.
+    counts = held.withColumn("code", F.xxhash64("term")).groupBy("code", "topic", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    counts = settled(counts)
     by_topic = counts.groupBy("topic").agg(F.sum("n").alias("topic_total"))
-    by_term = counts.groupBy("term").agg(F.sum("n").alias("term_total"))
+    by_term = counts.groupBy("code", "term").agg(F.sum("n").alias("term_total"))
     many = members.agg(F.count_distinct(F.coalesce(F.col(topic).cast("string"), F.lit(""))).alias("topics"))
     mean = by_topic.agg(F.sum("topic_total").alias("total")).crossJoin(many).select((F.col("total") / F.col("topics")).alias("mean_total"))  # one row
-    joined = counts.join(by_topic, "topic").join(by_term, "term").crossJoin(F.broadcast(mean))
+    joined = counts.join(by_topic, "topic").join(by_term, ["code", "term"]).crossJoin(F.broadcast(mean))
     score = F.col("n") / F.col("topic_total") * F.log(1 + F.col("mean_total") / F.col("term_total"))
     return joined.select("topic", "term", "n", score.alias("score"))
 
