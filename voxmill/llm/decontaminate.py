@@ -22,6 +22,7 @@ doc_id keep it; other columns are ignored; an empty table on either side has no
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm._shingles import mix, shingles, slices, words
+from voxmill.llm._shingles import FEW_BYTES, mix, shingles, slices, words
+from voxmill.llm._store import small_batches
 
 #: Bits of a fingerprint, and how many may differ: five standard deviations over what similarity 0.75 has on average.
 BITS, RADIUS = 256, 76
@@ -119,14 +121,18 @@ class Items:
         self.known, starts = np.unique(flat[order], return_index=True)
         self.owners, self.starts = owner[order], np.append(starts, len(flat))
         self.prints = np.array(prints, np.uint8).reshape(-1, _BLOCKS)
-        self.maybe = np.zeros(1 << 24, bool)
-        self.maybe[(self.known & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+        # Sixteen places for each shingle, so that most others are told by one look: every worker holds them.
+        self.maybe = np.zeros(1 << min(24, (16 * len(self.known)).bit_length()), bool)
+        self.maybe[self._place(self.known)] = True
+
+    def _place(self, found: np.ndarray) -> np.ndarray:
+        return (found & np.uint64(len(self.maybe) - 1)).astype(np.int64)
 
     def hits(self, found: np.ndarray) -> np.ndarray:
         """The place of each shingle among the items', or -1."""
         out = np.full(len(found), -1, np.int64)
         if len(self.known):
-            some = np.flatnonzero(self.maybe[(found & np.uint64((1 << 24) - 1)).astype(np.int64)])
+            some = np.flatnonzero(self.maybe[self._place(found)])
             at = np.minimum(np.searchsorted(self.known, found[some]), len(self.known) - 1)
             out[some] = np.where(self.known[at] == found[some], at, -1)
         return out
@@ -190,7 +196,7 @@ def _of_document(items: Items, found: np.ndarray, hit: np.ndarray, n_words: int)
 def _scan(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEW_BYTES):
             marks, word_bounds = words(batch.column("text"))
             found, bounds = shingles(marks, word_bounds)
             hit = items.hits(found)
@@ -218,9 +224,10 @@ def _scan(shared) -> callable:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", *, item_shingles: int = ITEM_SHINGLES) -> DataFrame:
     """doc_id, item_id, start (in words), n_words, similarity and distance of the best window for each document and item."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    out, block, held = spark.createDataFrame([], MATCH), [], 0
+    scans, block, held = [], [], 0
 
     def scanned() -> DataFrame:
         return rows.mapInArrow(_scan(spark.sparkContext.broadcast(Items(block))), MATCH)
@@ -229,5 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         block.append((row.item, row.text))
         held += len(row.text) // 2 + 1  # a word has a sign and a blank at least
         if held >= item_shingles:
-            out, block, held = out.union(scanned()), [], 0
-    return out.union(scanned()) if block else out
+            scans, block, held = [*scans, scanned()], [], 0
+    if block or not scans:
+        scans.append(scanned())
+    return functools.reduce(DataFrame.union, scans)

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm._graph import components
-from voxmill.llm._shingles import mix, runs_of, shingles, signed, slices, words
-from voxmill.llm._store import cut, drop
+from voxmill.llm._shingles import FEW_BYTES, mix, runs_of, shingles, signed, slices, words
+from voxmill.llm._store import cut, drop, small_batches
 
 #: How many of the most frequent shingles go last in the order.  It changes which blocks form, never which links hold.
 FREQUENT = 1 << 18
@@ -69,7 +69,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(1, pa.nulls(len(values), pa.int64()), counts, signed(values), np.zeros(len(values), np.int64))
 
     held, amount = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=FEW_BYTES):
         sets = _sets(batch)
         prints = [_set_print(s) for s in sets]
         yield _rows(0, batch.column("doc"), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])
@@ -100,7 +100,7 @@ def _incidence(frequent) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
         seen: set[tuple[int, int]] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEW_BYTES):
             keys, prints, rooms, lates = [], [], [], []
             for items in _sets(batch):
                 if not len(items) or (p := _set_print(items)) in seen:
@@ -241,7 +241,7 @@ def _multiply(fresh: bool) -> callable:
                 held[k] = []
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEW_BYTES):
             columns = [batch.column(c).to_pylist() for c in ("block", "tile", "doc", "label", "visitor")]
             for block, tile, doc, label, visitor, items in zip(*columns, _sets(batch), strict=True):
                 if (block, tile) != now:
@@ -267,6 +267,7 @@ def _products(texts: DataFrame, members: DataFrame, fresh: bool) -> DataFrame:
 def link_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (see the module's text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     found = cut(texts.mapInArrow(_describe, "kind int, doc long, n long, s1 long, s2 long"), "prints")
     described = found.where("kind = 0")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm._shingles import slices
+from voxmill.llm._store import small_batches
 from voxmill.llm._tokens import END_ID, encoder
 
 CAPACITY = 4096
@@ -189,6 +190,7 @@ def _pack(capacity: int) -> callable:
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", *, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, piece, start, length, tokens (little-endian 32-bit ids), sequence_id and offset of every piece."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     pieces = rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, tokens binary, part int")

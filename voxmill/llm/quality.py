@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm._shingles import signed, slices, text_bytes, words
-from voxmill.llm._store import cut
+from voxmill.llm._shingles import FEW_BYTES, signed, slices, text_bytes, words
+from voxmill.llm._store import cut, small_batches
 
 #: Labelled rows that models are fitted on at most.
 LABELLED = 8000
@@ -160,7 +160,7 @@ def _size(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _words_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=FEW_BYTES):
         marks, bounds = words(batch.column("text"), in_word=_LETTERS)
         each = [np.unique(marks[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         row = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
@@ -192,7 +192,7 @@ def _measure(model: Classifier, carried: list[str]) -> callable:
     """What the models need of each row: which words of the lexicon it has, its shape and its metadata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FEW_BYTES):
             present, shapes = model.text_numbers(batch)
             bits = pa.array([row.tobytes() for row in np.packbits(present.astype(bool), axis=1)], pa.binary())
             columns = [batch.column("doc"), bits, pa.array(list(shapes.astype(np.float32)), pa.list_(pa.float32())), *(batch.column(c) for c in ("lang", "source", "n_chars", *carried))]
@@ -329,7 +329,7 @@ def _score(shared, carried: list[str] | None) -> callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
-        for batch in batches if carried is None else slices(batches):
+        for batch in batches if carried is None else slices(batches, limit=FEW_BYTES):
             if not batch.num_rows:
                 continue
             text, metadata = model.measured_view(batch) if carried is None else model.text_view(batch), model.metadata_view(batch)
@@ -349,6 +349,7 @@ def _view(docs: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, carried: bool = False, **bounds: int) -> DataFrame:
     """doc_id, the probabilities of each view and of both, and kept, for every row of docs; with its columns if carried."""
+    small_batches(docs.sparkSession)
     view = _view(docs)
     model, measured = fit(view, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
